@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import quality
 from quarry.llm.decontaminate import contamination
+from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.mixing import mix_sources
 from quarry.llm.queries import PREDICT_AT
 from quarry.llm.secret_scan import secret_scan
@@ -28,6 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model, name="_score").where(F.col("_score") >= PREDICT_AT).drop("_score")
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest doc_id. Rows that share a doc_id stay or go together; those without one stay."""
+    copies = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
@@ -46,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mix_sources(docs)
 
 
-STAGES = [("quality", quality_stage), ("decontaminate", decontamination_stage), ("secrets", secrets_stage), ("mix", mixing_stage)]
+STAGES = [("quality", quality_stage), ("near duplicates", near_duplicate_stage), ("decontaminate", decontamination_stage), ("secrets", secrets_stage), ("mix", mixing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        out.write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontaminate import contamination
+from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .quality import scored as quality_scored
@@ -70,12 +71,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_quality, op4_license_scan, op5_decontaminate, op6_substring_dedup, op7_toxicity, op8_mixing, op10_nearest)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_quality, op4_license_scan, op5_decontaminate, op6_substring_dedup, op7_toxicity, op8_mixing, op9_jaccard_join, op10_nearest)}
 
 
 def _list(values: list[str]) -> str:
@@ -163,6 +168,23 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN g ON d.h = g.h AND d.source IS NOT DISTINCT FROM g.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS r(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, y FROM reach r JOIN link ON r.other = x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(other) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -177,4 +199,4 @@ SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_nearest": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_nearest": OP10_SQL}
