@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import small_batches
 
 BLOCK_BYTES = 8 << 20
 
@@ -87,7 +88,7 @@ def needed(n: int, threshold: float) -> int:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every document that holds an item; see the module."""
-    spark = docs.sparkSession
+    spark = small_batches(docs)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as T
+from .shared import small_batches
 
 # fixed values: the base phrases and their labels
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -151,7 +152,7 @@ class Automaton:
 def license_scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, min_match: int = 4, max_gap: int = 20, min_cover: float = 0.8) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and template_spans (``name:first:end`` in words); see the module."""
     automaton = Automaton(phrases, templates)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = small_batches(docs).sparkContext.broadcast(automaton)
     added = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("template_spans", pa.string())]
     docs = docs.drop(*(n for n, _ in added))
     others = docs.columns

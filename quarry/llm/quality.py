@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import saved
+from .shared import saved, small_batches
 
 BUCKETS = 1 << 18
 SCALE = 20.0
@@ -76,6 +76,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 6000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """The weights: features are made in parallel, the bounded sample is learnt in one task."""
+    small_batches(docs)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,7 @@ def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = small_batches(docs).sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import side_file
+from .shared import side_file, small_batches
 
 # fixed values: the patterns and lengths of the base kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -114,7 +114,7 @@ def secret_scan(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
 
     ``redacted``: with a mark given, ``text`` has each span replaced by it.
     """
-    name = side_file(docs.sparkSession, read_vocabulary(vocabulary), ".vocabulary")
+    name = side_file(small_batches(docs), read_vocabulary(vocabulary), ".vocabulary")
     added = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
     docs = docs.drop(*added)
     fields = ", ".join(f"{k} {v}" for k, v in added.items()) + (", redacted string" if redacted is not None else "")

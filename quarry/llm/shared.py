@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = str(8 << 20)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,6 +47,13 @@ def side_file(spark: SparkSession, content: bytes, suffix: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> SparkSession:
+    """The session of ``df``, set to hand texts to Python in batches of a few megabytes, which bounds the memory of executors whatever the texts' lengths."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

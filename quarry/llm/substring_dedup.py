@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import text as T
-from .shared import text_bytes
+from .shared import small_batches, text_bytes
 
 # a perfect difference set: every remainder modulo 13 is a difference of two members
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -131,6 +131,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     """(doc_id, n_words, n_removed, kept) of every document; see the module. ``window``: PERIOD + 1 words or more."""
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
+    small_batches(docs)
     _, size = text_bytes(docs, text)
     rows, _, buckets = C.chunked(docs, size, doc_id, text)
     by_chunk = rows.groupBy("chunk")

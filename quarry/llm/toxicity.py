@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .quality import training_rows
+from .shared import small_batches
 
 BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 8, 8, (3, 4, 5)
 _U = np.uint64
@@ -131,6 +132,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 800, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """The model; the bounded sample is learnt in one task."""
+    small_batches(docs)
     rows = training_rows(docs, labels.where(F.col(label) == 1), label, learn, max_train, doc_id, text).unionByName(
         training_rows(docs, labels.where(F.col(label) == 0), label, learn, max_train, doc_id, text))
 
@@ -167,7 +169,7 @@ def score_texts(texts: pa.Array, model: np.ndarray, shift: float = 0.0) -> np.nd
 
 def scored(docs: DataFrame, model: np.ndarray, text: str = "text", name: str = "score", shift: float = 0.0) -> DataFrame:
     """``docs`` with a column of scores from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
