@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_tra
         x = [(np.concatenate([np.frombuffer(i, np.int32), one[0]]), np.concatenate([np.frombuffer(x, np.float32), one[1]])) for i, x in zip(all_rows["i"], all_rows["x"])]
         yield pd.DataFrame({"w": [ftrl(x, [int(v) for v in all_rows["_label"]]).astype(np.float32).tobytes()]})
 
-    found = rows.coalesce(1).mapInPandas(fit, "w binary").collect()
+    found = rows.repartition(1).mapInPandas(fit, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32).astype(np.float64) if found else np.zeros(BUCKETS + 1)
 
 

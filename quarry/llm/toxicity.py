@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_tra
         model = fit(texts, y) if fair else np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
         yield pd.DataFrame({"m": [model.tobytes()]})
 
-    found = rows.coalesce(1).mapInPandas(run, "m binary").collect()
+    found = rows.repartition(1).mapInPandas(run, "m binary").collect()
     return np.frombuffer(found[0]["m"], np.float32) if found else np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
 
 
