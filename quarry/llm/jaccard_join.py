@@ -7,8 +7,10 @@ when 100 * |intersection| >= 80 * |union|.
 2. Across the chunks of the corpus, every shingle gets a level: 1 if one class alone has it.
    A class with too few shared shingles to reach the threshold with anyone is linked with
    nothing and leaves; in most corpora that is nearly all of them.
-3. The rest are partitioned into groups of similar documents: blocks of at most
-   ``GROUP`` classes with one MinHash, linked exactly inside, again for the blocks' roots.
+3. The rest are partitioned into groups of similar documents: blocks of about ``GROUP``
+   classes with one MinHash, linked exactly inside, again for the blocks' roots. Every block
+   of one MinHash also gets that MinHash's hub, the class with the most shared shingles, so
+   that copies of one original come together across blocks.
 4. Groups now are blocks of what is linked so far. The token-group matrix has a row for each
    rare shingle of a group (the prefix that two sets of enough overlap must share). A class
    meets the groups, not yet linked with its own, that share one of its rare shingles. The
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import text as T
-from .shared import saved, text_bytes
+from .shared import saved, small_batches, text_bytes
 
 GROUP, ROUNDS = 256, 3
 _U = np.uint64
@@ -56,6 +58,8 @@ def prints(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
 def set_sizes(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n, fp): each row's number of distinct shingles and its set's fingerprint."""
 
+    small_batches(docs)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, e in T.slices(batch["t"]):
@@ -89,7 +93,7 @@ class Chunk:
 
     def candidates(self, levels: np.ndarray, threshold: int) -> pa.Table:
         """Classes with enough shared shingles: those, rarest first, and how many of the rarest any link must share one of."""
-        out: dict[str, list] = {k: [] for k in ("fp", "n", "prefix", "minhash", "tokens")}
+        out: dict[str, list] = {k: [] for k in ("fp", "n", "prefix", "minhash", "tokens", "hub")}
         shared = (levels > 1) | self.again
         at = 0
         for fp, s in zip(self.fp, self.sets):
@@ -101,9 +105,9 @@ class Chunk:
             if m >= need:
                 tokens, rank = s[keep], levels[of][keep]
                 tokens = tokens[np.lexsort((tokens, rank))]
-                for name, v in zip(out, (fp, len(s), m - need + 1, minhashes(tokens), tokens.tobytes())):
+                for name, v in zip(out, (fp, len(s), m - need + 1, minhashes(tokens), tokens.tobytes(), m / len(s) + rank.mean() / 1000)):
                     out[name].append(v)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))})
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64()))})
 
 
 def minhashes(tokens: np.ndarray) -> list[int]:
@@ -139,8 +143,9 @@ class Sets:
 
 
 def link_block(rows: pa.Table, threshold: int) -> pa.Table:
-    """(id, root): each set's smallest id reachable inside the block."""
+    """(id, root): for each set the hub, if it is reachable inside the block, else the smallest id that is."""
     s = Sets(rows)
+    hub = rows["hub"][0].as_py()
     root = np.arange(len(s.id))
     for i in range(len(s.id)):
         if (root == root[0]).all():
@@ -149,7 +154,9 @@ def link_block(rows: pa.Table, threshold: int) -> pa.Table:
         old = np.unique(root[near])
         if len(old) > 1:
             root[np.isin(root, old)] = old[0]
-    return pa.table({"id": s.id, "root": s.id[root]})
+    named = s.id[root]
+    named[root == root[np.searchsorted(s.id, hub)]] = hub
+    return pa.table({"id": s.id, "root": named})
 
 
 def open_group(queries: pa.Table, members: pa.Table, threshold: int) -> pa.Table:
@@ -197,7 +204,7 @@ def relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: int, doc_id: str, text: str) -> DataFrame:
-    """(id, fp, n, prefix, minhash, tokens) of the classes that may link with another, of classes (fp, doc_id)."""
+    """(id, fp, n, prefix, minhash, tokens, hub) of the classes that may link with another, of classes (fp, doc_id)."""
     _, size = text_bytes(docs, text)
     rows, count, buckets = C.chunked(docs, size, doc_id, text)
     by_chunk = rows.groupBy("chunk")
@@ -216,7 +223,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: int,
         c = Chunk(chunk, rest.filter(pc.invert(packed)), k)
         return c.candidates(C.unpacked(rest.filter(packed), c.hash, buckets), threshold)
 
-    kept = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(keep, "fp binary, n long, prefix long, minhash array<long>, tokens binary")
+    kept = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(keep, "fp binary, n long, prefix long, minhash array<long>, tokens binary, hub double")
     return saved(kept.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -231,9 +238,12 @@ def class_components(sets: DataFrame, threshold: int) -> DataFrame:
     labels = saved(sets.select("id", F.col("id").alias("root")))
     roots = sets
     for r in range(ROUNDS):
-        named = grouped(roots.select("id", F.element_at("minhash", r + 1).alias("m")), "m")
+        named = grouped(roots.select("id", F.element_at("minhash", r + 1).alias("m"), F.col("hub").alias("_fit")), "m")
+        hubs = named.groupBy("m").agg(F.max_by("id", F.struct("_fit", "id")).alias("hub"))
+        named = named.join(hubs, "m").select("m", "block", "id", "hub")
+        named = named.unionByName(named.select("m", "block", F.col("hub").alias("id"), "hub").distinct()).distinct()
         found = fresh(roots.select("id", "n", "tokens").join(named, "id")).groupBy("m", "block").applyInArrow(lambda rows: link_block(rows, threshold), "id long, root long")
-        found = saved(found)
+        found = saved(found.distinct())
         labels = saved(relabelled(labels, found))
         roots = roots.join(found.where("id = root").select("id"), "id", "left_semi")
     groups = saved(grouped(labels, "root"))
@@ -272,7 +282,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id:
     measured = saved(set_sizes(docs, k, doc_id, text))
     classes = saved(measured.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     sets = similar_classes(docs, classes, k, threshold, doc_id, text)
-    labels = class_components(sets.select("id", "n", "prefix", "minhash", "tokens"), threshold)
+    labels = class_components(sets.select("id", "n", "prefix", "minhash", "tokens", "hub"), threshold)
     named = sets.select("id", "fp").join(labels, "id").join(classes, "fp")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
     component = classes.select("fp", F.col("doc_id").alias("first")).join(named.join(smallest, "root").select("fp", "component"), "fp", "left")
