@@ -35,7 +35,7 @@ def divide(a: Column, b: Column) -> Column:
 
 def modulo(a: Column, b: Column) -> Column:
     """The remainder with the dividend's sign; null for a divisor of 0."""
-    return F.when(b != 0, a % F.nullif(b, F.lit(0).cast("double")))
+    return F.when(b != 0, a % F.nullif(b, F.lit(0)))
 
 
 def equals(a: Column, b: Column) -> Column:

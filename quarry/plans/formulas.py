@@ -39,7 +39,7 @@ _part("formula_literals", lambda: fm.concat(F.lit(1), F.lit("a"), F.lit(True), F
 _order("formula_field", lambda: c("o_orderpriority"), "o_orderpriority")
 _order("formula_arith", lambda: c("o_totalprice") * 2 + 1 - c("o_custkey"), "o_totalprice * 2 + 1 - o_custkey")
 _part("formula_div", lambda: fm.divide(c("p_retailprice"), (c("p_size") - 10)), "CASE WHEN p_size <> 10 THEN p_retailprice / (p_size - 10) END")
-_part("formula_mod", lambda: fm.modulo(c("p_size").cast("double") - 20, F.lit(7.0)), "((p_size - 20) % 7)::DOUBLE")
+_part("formula_mod", lambda: fm.modulo(c("p_size") - 20, F.lit(7)), "(p_size - 20) % 7")
 _order("formula_eq", lambda: fm.equals(c("o_orderpriority"), F.lit("1-URGENT")), "coalesce(o_orderpriority = '1-URGENT', false)")
 _order("formula_cmp", lambda: fm.compare(c("o_totalprice"), ">=", F.lit(100000)), "coalesce(o_totalprice >= 100000, false)")
 _order("formula_logic", lambda: fm.truthy(c("o_orderpriority"), "string") & fm.truthy(c("o_custkey") - 10, "number"), "coalesce(o_orderpriority <> '', false) AND o_custkey <> 10")
