@@ -253,19 +253,24 @@ def class_components(sets: DataFrame, threshold: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [rare(t, p) for t, p in zip(batch["tokens"].to_pylist(), batch["prefix"].to_pylist())]
-            lengths = [len(x) for x in parts]
-            of = np.repeat(np.arange(len(parts)), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])), *(batch[c].take(pa.array(of)) for c in ("id", "n", "root", "block"))], ["token", "id", "n", "root", "block"])
+            raw = batch["tokens"].to_pylist()
+            parts = [rare(t, p) for t, p in zip(raw, batch["prefix"].to_pylist())]
+            rest = [len(t) // 8 - np.arange(len(x)) for t, x in zip(raw, parts)]
+            of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts + none)), pa.array(np.concatenate(rest + none)), *(batch[c].take(pa.array(of)) for c in ("id", "n", "root", "block"))], ["token", "rest", "id", "n", "root", "block"])
 
     named = sets.select("id", "n", "prefix", "tokens").join(groups, "id")
-    tokens = saved(named.mapInArrow(explode, "token long, id long, n long, root long, block int"))
+    tokens = saved(named.mapInArrow(explode, "token long, rest long, id long, n long, root long, block int"))
     several = tokens.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("token")
     tokens = tokens.join(several, "token", "left_semi")
-    matrix = tokens.groupBy("token", "root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # a link needs n within threshold of a member's; the larger root queries the smaller, so each pair of groups meets once
-    q = tokens.select("token", "id", "n", F.col("root").alias("own"))
+    matrix = tokens.groupBy("token", "root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    # The larger root queries the smaller, so each pair of groups meets once. A link needs sizes within the threshold and an
+    # overlap of threshold / (100 + threshold) of both sizes; at the first token two sets have in common, it must fit into
+    # what either has from there on in the common order.
+    q = tokens.select("token", "id", "n", F.col("rest").alias("own_rest"), F.col("root").alias("own"))
     fits = (F.col("own") > F.col("root")) & (100 * F.col("n") >= threshold * F.col("least")) & (threshold * F.col("n") <= 100 * F.col("most"))
+    fits &= (100 + threshold) * F.least("own_rest", "rest") >= threshold * (F.col("n") + F.col("least"))
     meets = saved(q.join(matrix, "token").where(fits).select("id", "root", "block").distinct())
     if meets.isEmpty():
         return labels
