@@ -29,7 +29,7 @@ from . import text as T
 from .quality import training_rows
 from .shared import small_batches
 
-BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 8, 8, (3, 4, 5)
+BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 4, 2, (3, 4, 5)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,7 +99,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.
     soft = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen, seen_soft, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    local = np.arange(len(seg_row)) if not len(rows_at) else np.repeat(np.arange(len(rows_at)), np.diff(np.append(rows_at, n_seg)))
+    local = np.repeat(np.arange(len(rows_at)), np.diff(np.append(rows_at, n_seg)))
     for _ in range(epochs):
         vec = np.add.reduceat(emb[grams], begin) / count[:, None]
         bag = np.add.reduceat(vec[word], seg_at) / seg_size[:, None]
@@ -130,7 +130,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.
     return np.append(scores, bias[1] - bias[0]).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 800, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 1000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """The model; the bounded sample is learnt in one task."""
     small_batches(docs)
     rows = training_rows(docs, labels.where(F.col(label) == 1), label, learn, max_train, doc_id, text).unionByName(
