@@ -16,11 +16,12 @@ from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.mixing import mix_sources
 from quarry.llm.queries import PREDICT_AT
 from quarry.llm.secret_scan import secret_scan
-from quarry.llm.shared import table
+from quarry.llm.shared import saved, table
 
 #: SQL cannot express the classifier; tests compare the stages with brute force.
 ORACLE_SQL = None
 SECRET = "[SECRET]"
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model, name="_score").where(F.col("_score") >= PREDICT_AT).drop("_score")
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the listed doc_ids; a list that is short enough spares moving the texts."""
+    ids = saved(ids.select("doc_id").distinct())
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id. Rows that share a doc_id stay or go together; those without one stay."""
-    copies = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, jaccard_components(docs).where("component_id <> doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
