@@ -13,7 +13,6 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FALSE, _TRUE = F.lit(False), F.lit(True)
 
 
 def number_text(c: Column) -> Column:
@@ -25,8 +24,8 @@ def number_text(c: Column) -> Column:
 def truthy(c: Column, kind: str) -> Column:
     """Whether a value counts as true. ``kind``: boolean, number or string."""
     if kind == "boolean":
-        return F.coalesce(c, _FALSE)
-    return F.coalesce(c != (F.lit(0) if kind == "number" else F.lit("")), _FALSE)
+        return F.coalesce(c, F.lit(False))
+    return F.coalesce(c != (F.lit(0) if kind == "number" else F.lit("")), F.lit(False))
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -40,12 +39,12 @@ def modulo(a: Column, b: Column) -> Column:
 
 def equals(a: Column, b: Column) -> Column:
     """False if either is null."""
-    return F.coalesce(a == b, _FALSE)
+    return F.coalesce(a == b, F.lit(False))
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
     """``> < >= <=``; false if either is null."""
-    return F.coalesce({">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op], _FALSE)
+    return F.coalesce({">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op], F.lit(False))
 
 
 def negation(c: Column, kind: str) -> Column:
