@@ -17,6 +17,7 @@ SPARK_TYPES = {
 #: types whose values have a canonical text, and so can be part of a key
 KEY_TYPES = {"string", "text", "char", "smallint", "integer", "bigint", "number", "currency", "boolean", "date", "time", "timetz", "timestamp", "timestamptz", "uuid", "enum"}
 #: fields of the side table, readable on every object that has one
+PREFIX = "meta_"  # of the virtual fields: meta_id is the record key, the rest come from the side table
 META_FIELDS = ["status", "owner_id", "created_by", "modified_by", "created_time", "modified_time", "workflow_instance_id"]
 
 
@@ -83,7 +84,7 @@ class ObjectDef:
                 raise ModelError("object.field.type", f"{self.name}.{f.name}: {f.type}")
             if f.primary and f.type not in KEY_TYPES:
                 raise ModelError("object.key.type", f"{self.name}.{f.name}: {f.type}")
-            if f.name.startswith("weave_"):
+            if f.name.startswith(PREFIX):
                 raise ModelError("object.field.reserved", f.name)
         if not self.keys:
             raise ModelError("object.key.missing", self.name)

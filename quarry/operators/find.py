@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import decode_cursor, decode_key, record_key
-from ..model import META_FIELDS, ModelError, ObjectDef
+from ..model import META_FIELDS, PREFIX, ModelError, ObjectDef
 
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "contains", "like")
 DEFAULT_LIMIT, MAX_ROWS, MAX_FILTERS, MAX_SORTS = 100, 1000, 50, 8
-VIRTUAL = ["weave_id", *(f"weave_{m}" for m in META_FIELDS)]
+VIRTUAL = [f"{PREFIX}id", *(f"{PREFIX}{m}" for m in META_FIELDS)]
 
 
 @dataclass(frozen=True)
@@ -95,14 +95,14 @@ def names_used(find: Find) -> set[str]:
 
 
 def with_virtual(df: DataFrame, obj: ObjectDef, meta: DataFrame | None, used: set[str]) -> DataFrame:
-    """Adds ``weave_id``, and the side table's fields only when one is used: no join otherwise."""
-    df = df.withColumn("weave_id", record_key(df, *obj.keys))
-    wanted = [m for m in META_FIELDS if f"weave_{m}" in used]
+    """Adds ``meta_id``, and the side table's fields only when one is used: no join otherwise."""
+    df = df.withColumn("meta_id", record_key(df, *obj.keys))
+    wanted = [m for m in META_FIELDS if f"{PREFIX}{m}" in used]
     if meta is None or not wanted:
         return df
-    side = meta.select(F.col("record_key").alias("weave_id"), *(F.col(m).alias(f"weave_{m}") for m in wanted))
-    joined = df.join(side, "weave_id", "left")
-    return joined.withColumn("weave_status", F.coalesce("weave_status", F.lit("draft"))) if "status" in wanted else joined
+    side = meta.select(F.col("record_key").alias("meta_id"), *(F.col(m).alias(f"{PREFIX}{m}") for m in wanted))
+    joined = df.join(side, "meta_id", "left")
+    return joined.withColumn("meta_status", F.coalesce("meta_status", F.lit("draft"))) if "status" in wanted else joined
 
 
 def projection(obj: ObjectDef, fields: list[str] | None, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -146,7 +146,7 @@ def find_one(df: DataFrame, obj: ObjectDef, key: str) -> DataFrame:
         raise ModelError("record.key.invalid", key)
     kinds = dict(df.dtypes)
     where = reduce(lambda a, b: a & b, (F.col(k) == F.lit(v).cast(kinds[k]) for k, v in zip(obj.keys, values)))
-    return df.where(where).limit(1).withColumn("weave_id", F.lit(key)).select("weave_id", *obj.stored)
+    return df.where(where).limit(1).withColumn("meta_id", F.lit(key)).select("meta_id", *obj.stored)
 
 
 def total(df: DataFrame, obj: ObjectDef, filter: dict) -> DataFrame:

@@ -29,10 +29,10 @@ def people(spark, d):
     return table(spark, d, "customer").withColumn("dept_id", F.concat(F.lit("n"), "c_nationkey"))
 
 
-@query("SELECT strlen(o_orderkey::VARCHAR) || ':' || o_orderkey AS weave_id, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10 AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+@query("SELECT strlen(o_orderkey::VARCHAR) || ':' || o_orderkey AS meta_id, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10 AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def scope_own(spark, d):
     mine = sc.readable(table(spark, d, "orders"), ob.PLAIN_ORDERS, ob.SALES)
-    options = fd.Find(filter={"o_totalprice": {"gte": 1000}}, sort=[("o_totalprice", "desc"), ("o_orderkey", "asc")], fields=["weave_id", "o_orderkey", "o_totalprice"], limit=20)
+    options = fd.Find(filter={"o_totalprice": {"gte": 1000}}, sort=[("o_totalprice", "desc"), ("o_orderkey", "asc")], fields=["meta_id", "o_orderkey", "o_totalprice"], limit=20)
     return fd.find(mine, ob.PLAIN_ORDERS, options)
 
 

@@ -39,10 +39,10 @@ _filter("filter_and", {"$or": [{"o_orderstatus": "P"}, {"o_orderstatus": "F"}],
 _filter("filter_null", {"o_orderpriority": {"eq": None}}, "false", fr.nullable_orders, "norders")
 
 
-@query(fr.with_frames("meta", "SELECT o_orderkey, coalesce(status, 'draft') AS weave_status FROM orders LEFT JOIN meta ON record_key = strlen(o_orderkey::VARCHAR) || ':' || o_orderkey WHERE coalesce(status, 'draft') IN ('draft', 'canceled')"))
+@query(fr.with_frames("meta", "SELECT o_orderkey, coalesce(status, 'draft') AS meta_status FROM orders LEFT JOIN meta ON record_key = strlen(o_orderkey::VARCHAR) || ':' || o_orderkey WHERE coalesce(status, 'draft') IN ('draft', 'canceled')"))
 def filter_meta_status(spark, d):
-    o = fd.with_virtual(table(spark, d, "orders"), ORDERS, fr.meta_orders(spark, d), {"weave_status"})
-    return fd.filtered(o, ORDERS, {"weave_status": {"in": ["draft", "canceled"]}}).select("o_orderkey", "weave_status")
+    o = fd.with_virtual(table(spark, d, "orders"), ORDERS, fr.meta_orders(spark, d), {"meta_status"})
+    return fd.filtered(o, ORDERS, {"meta_status": {"in": ["draft", "canceled"]}}).select("o_orderkey", "meta_status")
 
 
 @query(fr.with_frames("lines", "SELECT l_orderkey, l_partkey, parent_idx FROM lines WHERE parent_id = '2:33' OR parent_idx > 6"))

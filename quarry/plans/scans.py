@@ -21,7 +21,7 @@ def scan_orders(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-@query("SELECT '1:7' AS weave_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey = 7")
+@query("SELECT '1:7' AS meta_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey = 7")
 def find_one_by_key(spark, d):
     return fd.find_one(table(spark, d, "orders"), PLAIN_ORDERS, "1:7")
 
@@ -82,16 +82,16 @@ def project_mask(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").withColumns({k: F.lit(v) for k, v in masks.items()})
 
 
-@query("SELECT l_orderkey, strlen(l_orderkey::VARCHAR) || ':' || l_orderkey || strlen(l_partkey::VARCHAR) || ':' || l_partkey || strlen(l_suppkey::VARCHAR) || ':' || l_suppkey || strlen(l_linenumber::VARCHAR) || ':' || l_linenumber AS weave_id FROM lineitem")
-def project_weave_id(spark, d):
+@query("SELECT l_orderkey, strlen(l_orderkey::VARCHAR) || ':' || l_orderkey || strlen(l_partkey::VARCHAR) || ':' || l_partkey || strlen(l_suppkey::VARCHAR) || ':' || l_suppkey || strlen(l_linenumber::VARCHAR) || ':' || l_linenumber AS meta_id FROM lineitem")
+def project_record_id(spark, d):
     l = table(spark, d, "lineitem")
-    return l.select("l_orderkey", record_key(l, *LINE.keys).alias("weave_id"))
+    return l.select("l_orderkey", record_key(l, *LINE.keys).alias("meta_id"))
 
 
-@query(fr.with_frames("meta", f"SELECT o_orderkey, {RK} AS weave_id, coalesce(status, 'draft') AS weave_status, strftime(created_time, '%Y-%m-%d') AS weave_created FROM orders LEFT JOIN meta ON record_key = {RK}"))
+@query(fr.with_frames("meta", f"SELECT o_orderkey, {RK} AS meta_id, coalesce(status, 'draft') AS meta_status, strftime(created_time, '%Y-%m-%d') AS meta_created FROM orders LEFT JOIN meta ON record_key = {RK}"))
 def project_meta_fields(spark, d):
-    o = fd.with_virtual(table(spark, d, "orders"), PLAIN_ORDERS, fr.meta_orders(spark, d), {"weave_status", "weave_created_time"})
-    return o.select("o_orderkey", "weave_id", "weave_status", F.date_format("weave_created_time", "yyyy-MM-dd").alias("weave_created"))
+    o = fd.with_virtual(table(spark, d, "orders"), PLAIN_ORDERS, fr.meta_orders(spark, d), {"meta_status", "meta_created_time"})
+    return o.select("o_orderkey", "meta_id", "meta_status", F.date_format("meta_created_time", "yyyy-MM-dd").alias("meta_created"))
 
 
 @query(fr.with_frames("lines links", "SELECT o_orderkey, (SELECT string_agg(target_p_partkey::VARCHAR, ',' ORDER BY idx) FROM links WHERE owner_o_orderkey = o_orderkey AND target_p_partkey % 3 = 0) AS part_ids FROM orders"))

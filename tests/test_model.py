@@ -41,7 +41,7 @@ def test_definitions_are_checked():
     refused("object.field.duplicate", ObjectDef, "o", (key, key))
     refused("object.field.type", ObjectDef, "o", (key, Field("a", "blob")))
     refused("object.key.type", ObjectDef, "o", (Field("id", "json", primary=True),))
-    refused("object.field.reserved", ObjectDef, "o", (key, Field("weave_x")))
+    refused("object.field.reserved", ObjectDef, "o", (key, Field("meta_x")))
 
 
 def test_find_refuses(spark):

@@ -134,7 +134,7 @@ def test_side_table_is_joined_only_when_used(spark):
 
     o, meta = table(spark, SF, "orders"), fr.meta_orders(spark, SF)
     assert "Join" not in plan(fd.find(o, ob.PLAIN_ORDERS, fd.Find(), meta))
-    assert "Join" in plan(fd.find(o, ob.PLAIN_ORDERS, fd.Find(filter={"weave_status": "draft"}, fields=["o_orderkey", "weave_status"]), meta))
+    assert "Join" in plan(fd.find(o, ob.PLAIN_ORDERS, fd.Find(filter={"meta_status": "draft"}, fields=["o_orderkey", "meta_status"]), meta))
 
 
 def test_no_query_multiplies_tables(spark):
