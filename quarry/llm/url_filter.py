@@ -6,7 +6,7 @@ listed under, find the keys by vectorised binary search and confirm each hit aga
 stored string, so a hash collision cannot decide a url.
 
 A rule fits its host and all subdomains when the url's path starts with the rule's path;
-the longest rule (host plus path, then host) wins. A url without a fitting rule is blocked
+the longest rule (host plus path, then host) wins, block before allow for the same rule. A url without a fitting rule is blocked
 if a dot- or hyphen-separated part of its host is a blocked word, else allowed.
 
 Defined results: a null url or one without ``://`` has empty host and path and is allowed;
@@ -48,7 +48,7 @@ def _key(s: str) -> int:
 
 def build_index(rules: list[tuple[str, str, str]], words: list[str]) -> bytes:
     """The file: count, path lengths, keys, verdicts, string ends, strings. Host and path are joined by a blank, which no host holds."""
-    items = {f"r{h} {p}": v for h, p, v in rules} | {f"w{w}": "block" for w in words}
+    items = {f"r{h} {p}": v for h, p, v in sorted(rules, key=lambda r: r[2])} | {f"w{w}": "block" for w in words}
     listed = sorted((_key(s), s, v) for s, v in items.items())
     lengths = sorted({len(p) for _, p, _ in rules})
     texts = [s.encode() for _, s, _ in listed]
@@ -149,17 +149,16 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame =
 def _joined(pages: DataFrame, rules: DataFrame, words: list[str]) -> DataFrame:
     """The same by equi-join on digest and strings, for rule sets too large to ship to each executor."""
     rules = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v")).distinct()
-    lengths = [r[0] for r in rules.select(F.length("_p")).distinct().orderBy(F.length("_p")).limit(1000).collect()]
-    pages = pages.withColumn("_row", F.monotonically_increasing_id())
+    lengths = [r[0] for r in rules.select(F.length("_p")).distinct().collect()]
     labels = F.split("host", r"\.")
     probes = (
-        pages.select("_row", "host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_i"), labels.alias("_l"))
-        .select("_row", "path", F.array_join(F.slice("_l", F.col("_i"), F.size("_l")), ".").alias("_h"))
-        .select("_row", "_h", "path", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
+        pages.select("host", "path").distinct()
+        .select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_i"), labels.alias("_l"))
+        .select("host", "path", F.array_join(F.slice("_l", F.col("_i"), F.size("_l")), ".").alias("_h"))
+        .select("host", "path", "_h", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
         .where(F.col("_n") <= F.length("path"))
-        .select("_row", "_h", F.expr("left(path, _n)").alias("_p"))
+        .select("host", "path", "_h", F.expr("left(path, _n)").alias("_p"))
     )
-    hits = probes.join(rules, ["_h", "_p"]).groupBy("_row").agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")), F.struct(F.length("_h") + F.length("_p"), F.length("_h"))).alias("_hit"))
+    hits = probes.join(rules, ["_h", "_p"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")), F.struct(F.length("_h") + F.length("_p"), F.length("_h"), "_v")).alias("_hit"))
     own = F.when(F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, words))), "block").otherwise("allow")
-    keep = [c for c in pages.columns if c != "_row"]
-    return pages.join(hits, "_row", "left").select(*keep, F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", own).alias("verdict"))
+    return pages.join(hits, ["host", "path"], "left").select(*pages.columns, F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", own).alias("verdict"))
