@@ -15,7 +15,7 @@ def subtree(tree: DataFrame, roots: DataFrame, node: str = "id", parent: str = "
     while not level.isEmpty():
         below = level.join(edges, F.col("id") == F.col("_parent")).select(F.col("_child").alias("id")).distinct()
         level = saved(below.join(seen, "id", "left_anti"))
-        seen = saved(seen.unionByName(level))
+        seen = seen.unionByName(level)
     return seen
 
 
