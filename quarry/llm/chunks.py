@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 _U = np.uint64
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _MUL = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
@@ -66,7 +66,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each, one row at least."""
     _, offsets = buffers(texts)
     row, n = 0, len(offsets) - 1
