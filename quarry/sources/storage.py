@@ -11,9 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that spark.checkpoint.dir names (a new one where it is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; where it is unset, as in tests, a new one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
+    return named or sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 import pandas as pd
@@ -10,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import Limiter, seconds
-from ..sources.storage import table
+from ..sources.storage import shared_dir, table
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
