@@ -8,7 +8,7 @@ from histograms: sizes summed by source and hash bucket, then only the bucket wh
 budget ends is split again, to the last bit. Nothing is sorted by hash and reruns agree.
 
 Rows of equal hash (the same doc_id) stand or fall together. The rows taken are the
-shortest-hash prefix whose sum ends nearest to the budget.
+prefix in order of hash whose sum ends nearest to the budget.
 
 Defined results: a null text has size 0; null doc_id and null source are values like any
 other; repeated rows count each; an empty table gives an empty result; only doc_id, text
@@ -36,7 +36,7 @@ def hash60(doc_id: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: list[int], cap: int) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """(_key, source_size, target) by source: capped sources are those whose cap is below their share of what sources with a smaller cap per weight leave."""
     by_name, all_rows = Window.orderBy("_key"), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fill = Window.orderBy(F.col("_cap") / F.col("_w"), "_key")
@@ -75,7 +75,7 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return last.select("_key", F.when(F.col("_all"), F.lit(1 << BITS).cast("long")).when(take_last, F.col("_prefix")).otherwise(F.col("_prefix") - 1).alias("_below"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int] = [5, 2, 1], cap: int = 3, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document; see the module."""
     key = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source)))
     sizes = saved(docs.select(F.col(doc_id).alias("doc_id"), size_of(F.col(text)).alias("size"), key.alias("_key"), hash60(F.col(doc_id), seed).alias("_hash")))
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, weights: list[int] = [5, 2, 1], cap: int = 3, s
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("_times", times).withColumn("_budget", F.col("target") - F.col("_times") * F.col("source_size"))
     limits = targets.join(thresholds(sizes, targets), "_key")
-    if targets is not None and limits.count() <= MAX_BROADCAST_SOURCES:
+    if limits.count() <= MAX_BROADCAST_SOURCES:
         limits = F.broadcast(limits)
     taken = F.col("size") * (F.col("_times") + (F.col("_hash") <= F.col("_below")).cast("long"))
     return sizes.join(limits, "_key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -7,7 +7,8 @@ documents with follow-the-regularised-leader (proximal) updates; a score is the
 a sparse dot product over all of a text.
 
 Training rows are the ``max_train`` labelled rows with the smallest hash of their id, a
-documented bound on fitting; whole texts are used and every document is scored whole.
+documented bound on fitting (texts of over 50,000 bytes are not learnt from). They are used
+whole and every document is scored whole.
 
 Defined results: null and empty texts score the intercept; labels that are null are not
 learnt from; without any training row every score is 0.5; repeated rows are scored each;
@@ -67,11 +68,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: i
     return weights(np.arange(BUCKETS + 1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int, doc_id: str, text: str) -> DataFrame:
-    """(_id, _text, _label) of at most ``max_train`` labelled rows, chosen by hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int, doc_id: str, text: str, max_text_bytes: int = 50_000) -> DataFrame:
+    """(_id, _text, _label) of at most ``max_train`` labelled rows, chosen by hash of the id; of those, texts of over ``max_text_bytes`` are not learnt from."""
     rows = labels.where(learn & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = saved(rows.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train))
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= max_text_bytes)
+    return short.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 6000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:

@@ -1,35 +1,19 @@
-"""Cluster helpers: the shared folder, checkpoints and side files."""
+"""Cluster helpers: side files, batch sizes, text sizes."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import saved, shared_dir, table
+
 BATCH_BYTES = str(8 << 20)
+__all__ = ["folded", "saved", "shared_dir", "side_file", "small_batches", "table", "text_bytes"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a new one."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir", None):
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def side_file(spark: SparkSession, content: bytes, suffix: str) -> str:
     """Puts a bounded file into the shared folder and has Spark hand it to every executor; returns its name for SparkFiles.get."""
     name = f"{hashlib.sha256(content).hexdigest()[:24]}{suffix}"
@@ -54,10 +38,6 @@ def small_batches(df: DataFrame) -> SparkSession:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def folded(text: Column) -> Column:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(text, UPPER, LOWER)

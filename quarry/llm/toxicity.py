@@ -8,7 +8,7 @@ softmax are trained together in numpy on document labels: the loss pools a docum
 segments by a soft maximum, whose gradient goes to the segments that explain the label.
 
 Training rows are at most ``max_train`` labelled rows of each class with the smallest hash of their
-id, a documented bound on fitting. Every document is scored over its whole text.
+id, a documented bound on fitting; texts of over 50,000 bytes are not learnt from. Every document is scored over its whole text.
 
 Defined results: null and empty texts score the intercept; null labels are not learnt from;
 without both classes every score is 0; repeated rows are scored each; other columns of the
