@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import Limiter, seconds
+from ..operators.state import START, Limiter, seconds, workflow_step
 from ..sources.storage import shared_dir, table
 
 
@@ -80,3 +80,18 @@ def limited(hits: DataFrame, window: str, limit: int) -> DataFrame:
     return timed.groupBy("key").applyInPandasWithState(fold, "key string, id long, accepted boolean", "hits array<double>", "append", "NoTimeout")
 
 
+
+
+def workflow_states(log: DataFrame, nodes: int) -> DataFrame:
+    """(key, status, node, accepted) of each key after each trigger of a stream of actions (key, ts, id, action)."""
+
+    def fold(key, batches, state):
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        now = tuple(state.get) if state.exists else (START, 0, 0)
+        for action in rows["action"]:
+            now = workflow_step(now, action, nodes)
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["key", "status", "node", "accepted"])
+
+    kind = dict(log.dtypes)["key"]
+    return log.groupBy("key").applyInPandasWithState(fold, f"key {kind}, status string, node int, accepted long", "status string, node int, accepted long", "append", "NoTimeout")

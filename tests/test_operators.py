@@ -51,6 +51,13 @@ def test_limited_stream_equals_batch(spark):
     assert got == {tuple(r) for r in st.rate_limit(batch, "1d", 3).collect()}
 
 
+def test_workflow_stream_equals_batch(spark):
+    action = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "purchase", "approve").otherwise("reject")
+    log = lambda e: e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), action.alias("action"))
+    got = {tuple(r) for r in jobs.drained(spark, jobs.workflow_states(log(jobs.events_stream(spark, SF)), 2), "append").collect()}
+    assert got == {tuple(r) for r in st.workflow_state(log(table(spark, SF, "events")), 2).collect()}
+
+
 def test_subtree_and_cycles(spark):
     tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y"), ("lost", "gone")], "id string, parent_id string")
     assert sorted(r[0] for r in closure.subtree(tree, tree.where("id = 'b'").select("id")).collect()) == ["b", "c"]
