@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,12 @@ def side_file(spark: SparkSession, content: bytes, suffix: str) -> str:
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/side/{name}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        out = fs.create(path, True)
+        part = path.suffix(f".{uuid4().hex}")  # a file appears under its name only once it is whole
+        out = fs.create(part, True)
         for i in range(0, len(content), 1 << 20):
             out.write(bytearray(content[i : i + (1 << 20)]))
         out.close()
+        fs.rename(part, path)
     uri = fs.makeQualified(path).toString()
     if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
         spark.sparkContext.addFile(uri)
