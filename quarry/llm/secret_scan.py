@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns plus a token-efficiency test.
 
 Base spans come from three patterns. The method adds ``random`` spans: runs of 20 or more
-base64-like characters of mixed case and digits that a public tokenizer's vocabulary needs
+base64-like characters, of whatever classes, that a public tokenizer's vocabulary needs
 a token for every ``max_ratio`` characters or fewer. Prose and code compress well, random
 strings do not. Known digests (hexadecimal of a usual digest length) and identifiers
-(UUIDs, paths of words) are left out, and so is what overlaps a base span.
+(UUIDs, paths of words) are left out, and so is what overlaps a base span. A path is one of
+words if its groups of over three letters compress well too, or it has none.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
 scanned whole; repeated rows are scanned each; other columns are passed through, those named as an
@@ -38,7 +39,10 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _assign, _access, _hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
 _keyword = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_uuid, _hexadecimal, _words = re.compile(UUID), re.compile(r"[0-9a-fA-F]+"), re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/=]*")
+_uuid, _hexadecimal = re.compile(UUID), re.compile(r"[0-9a-fA-F]+")
+_group = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]{1,4})"  # a word, also as v2, or a short number
+_words = re.compile(rf"{_group}(?:[/_=+-]+{_group})+[/=]*")
+_letters = re.compile(r"[A-Za-z]{4,}")
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
@@ -58,14 +62,22 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
-    if not (re.search("[a-z]", run) and re.search("[A-Z]", run) and re.search("[0-9]", run)):
+def n_tokens(run: str, encoding: tiktoken.Encoding) -> int:
+    # long runs in pieces: the encoder's time grows faster than a piece's length
+    return sum(len(encoding.encode_ordinary(run[i : i + 2000])) for i in range(0, len(run), 2000))
+
+
+def is_words(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
+    if not _words.fullmatch(run):
         return False
-    if _hexadecimal.fullmatch(run) and len(run) in DIGEST_LENGTHS or _uuid.search(run) or _words.fullmatch(run):
+    groups = _letters.findall(run)
+    return not groups or sum(map(len, groups)) > max_ratio * sum(n_tokens(g, encoding) for g in groups)
+
+
+def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
+    if _hexadecimal.fullmatch(run) and len(run) in DIGEST_LENGTHS or _uuid.search(run) or is_words(run, encoding, max_ratio):
         return False
-    # long runs in pieces: the encoder's time grows faster than a piece's length
-    pieces = [run[i : i + 2000] for i in range(0, len(run), 2000)]
-    return len(run) <= max_ratio * sum(len(encoding.encode_ordinary(p)) for p in pieces)
+    return len(run) <= max_ratio * n_tokens(run, encoding)
 
 
 def all_spans(text: str, encoding: tiktoken.Encoding, max_ratio: float = 2.0) -> list[tuple[str, int, int]]:

@@ -69,6 +69,18 @@ def test_secret_scan(spark):
     assert all("random" not in got[i]["spans"] for i in (12, 13, 14))
 
 
+def test_random_strings_of_any_classes():
+    encoding, rng = S.encoding_of("test", S.read_vocabulary()), random.Random(7)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (lower + digits, upper + "234567", upper + digits, lower + upper, upper, lower):
+        keys = ["".join(rng.choices(letters, k=n)) for n in (20, 32, 43) for _ in range(100)]
+        assert sum(S.all_spans(f"a {k} b", encoding) == [("random", 2, 2 + len(k))] for k in keys) >= 0.98 * len(keys)
+    grouped = "QXZKV-JWPTM-BNRGH-LDFSY-CVKQX"
+    assert S.all_spans(grouped, encoding) == [("random", 0, len(grouped))]
+    for t in ("9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "AbstractSingletonProxyFactoryBean", "INTERNATIONALIZATION", "docs/api/v2/en/2024/01/15/x/y/z", "the-cat-sat-on-a-mat-1-2-3", "donaudampfschifffahrtsgesellschaft", "-" * 40):
+        assert S.all_spans(t, encoding) == [], t
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token = \"0123456789abcdef0123\" b"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in S.secret_scan(df, redacted="[X]").collect()}
