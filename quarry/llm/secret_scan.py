@@ -4,8 +4,14 @@ Base spans come from three patterns. The method adds ``random`` spans: runs of 2
 base64-like characters, of whatever classes, that a public tokenizer's vocabulary needs
 a token for every ``max_ratio`` characters or fewer. Prose and code compress well, random
 strings do not. Known digests (hexadecimal of a usual digest length) and identifiers
-(UUIDs, paths of words) are left out, and so is what overlaps a base span. A path is one of
-words if its groups of over three letters compress well too, or it has none.
+(UUIDs, paths of words) are left out. A path is one of words if its groups of over three
+letters compress well too, or it has none.
+
+A run is judged in what is left of it once UUIDs, digests and base spans are cut out. What is
+not random as a whole is judged by its parts: stretches of groups between / + _ = - whose
+tokens outweigh their characters at ``max_ratio``, so readable text joined to a secret does
+not hide it. A rest of 8 characters or more that is part of one unbroken string with a hex or
+access span counts together with that span.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
 scanned whole; repeated rows are scanned each; other columns are passed through, those named as an
@@ -18,6 +24,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 import tiktoken
@@ -39,10 +46,15 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _assign, _access, _hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
 _keyword = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_uuid, _hexadecimal = re.compile(UUID), re.compile(r"[0-9a-fA-F]+")
+_uuid = re.compile(UUID)
 _group = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]{1,4})"  # a word, also as v2, or a short number
 _words = re.compile(rf"{_group}(?:[/_=+-]+{_group})+[/=]*")
+_atom = re.compile(r"[A-Za-z0-9]+[/+_=-]*|[/+_=-]+")
+_digest = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])")
+_cuttable = re.compile(r"[0-9a-fA-F]{32}|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-")
 _letters = re.compile(r"[A-Za-z]{4,}")
+SEPARATORS = "=/+_-"
+MIN_RUN, MIN_REST = 20, 8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
@@ -75,18 +87,90 @@ def is_words(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
 
 
 def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
-    if _hexadecimal.fullmatch(run) and len(run) in DIGEST_LENGTHS or _uuid.search(run) or is_words(run, encoding, max_ratio):
+    if is_words(run, encoding, max_ratio):
         return False
     return len(run) <= max_ratio * n_tokens(run, encoding)
 
 
+def segments(scores: list[float]) -> list[tuple[int, int]]:
+    """The maximal scoring segments, as (first, end): disjoint, linear time (Ruzzo and Tompa)."""
+    done: list[tuple[int, int]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # first, end, sums before and after, nearest lower one
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        first, low = i, before
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0:  # nothing before can grow any more
+                done += [f[:2] for f in stack]
+                stack = [(first, i + 1, low, total, -1)]
+                break
+            if stack[j][3] >= total:
+                stack.append((first, i + 1, low, total, j))
+                break
+            first, low = stack[j][0], stack[j][2]
+            del stack[j:]
+    return done + [f[:2] for f in stack]
+
+
+def random_parts(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """Where ``run`` is random: as a whole, or in stretches of its groups."""
+    if len(run) < MIN_RUN:
+        return []
+    if is_random(run, encoding, max_ratio):
+        return [(0, len(run))]
+    groups = [m.span() for m in _atom.finditer(run)]
+    # at max_ratio exactly a group counts as random
+    scores = [max_ratio * n_tokens(run[s:e], encoding) - (e - s) + 1e-6 for s, e in groups]
+    found = []
+    for i, j in segments(scores):
+        s, e = groups[i][0], groups[j - 1][1]
+        whole = run[s:e]
+        e = s + len(whole.rstrip(SEPARATORS[1:]))  # padding stays
+        if e - s >= MIN_RUN and is_random(whole, encoding, max_ratio):
+            found.append((s, e))
+    return found
+
+
+def rests(text: str, s: int, e: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """What is left of a run without UUIDs, digests and base spans; True: cut off a hex or access span's own string."""
+    run = text[s:e]
+    cuts = [(max(a, s), min(b, e), k in ("hex", "access")) for k, a, b in base if a < e and s < b]
+    cuts += [(s + m.start(), s + m.end(), False) for m in _uuid.finditer(run)]
+    cuts += [(s + m.start(), s + m.end(), False) for m in _digest.finditer(run) if len(m.group()) in DIGEST_LENGTHS]
+    at, glued = s, False
+    for a, b, g in [*sorted(cuts), (e, e, False)]:
+        if a > at:
+            lo, hi = at, a
+            own = glued and text[at] not in SEPARATORS or g and text[a - 1] not in SEPARATORS
+            while at > s and lo < hi and text[lo] in SEPARATORS:
+                lo += 1
+            while a < e and lo < hi and text[hi - 1] in SEPARATORS:
+                hi -= 1
+            yield lo, hi, own
+        if b > at:
+            at, glued = b, g
+
+
 def all_spans(text: str, encoding: tiktoken.Encoding, max_ratio: float = 2.0) -> list[tuple[str, int, int]]:
     base = base_spans(text)
-    more = []
+    more, first = [], 0
     for m in _run.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for _, a, b in base) and is_random(m.group(), encoding, max_ratio):
-            more.append(("random", s, e))
+        while first < len(base) and base[first][2] <= s:
+            first += 1
+        near = [base[i] for i in takewhile(lambda i: base[i][1] < e, range(first, len(base))) if s < base[i][2]]
+        for lo, hi, own in rests(text, s, e, near) if near or _cuttable.search(m.group()) else [(s, e, False)]:
+            if own and MIN_REST <= hi - lo < MIN_RUN:
+                parts = [(0, hi - lo)] if is_random(text[lo:hi], encoding, max_ratio) else []
+            else:
+                parts = random_parts(text[lo:hi], encoding, max_ratio)
+            more += [("random", lo + a, lo + b) for a, b in parts]
     return sorted(base + more, key=_order)
 
 
