@@ -9,6 +9,8 @@ vocabulary words reach the automaton.
 Base labels: a phrase stands wherever it is a suffix of the current match. The method's
 labels: matches of ``min_match`` words or more are chained in template order, gaps of up to
 ``max_gap`` words allowed, and a template is found when a chain covers ``min_cover`` of it.
+A match may stand at each place of its words in the template, and extends whichever open chain
+covers most with it; the others stay open until the gap closes them.
 ``score`` is the best template's coverage, or 0.5 at least where a base phrase stands.
 
 Defined results: a null text has no words; texts of any length are scanned whole; repeated
@@ -54,18 +56,17 @@ class Automaton:
         self.labels, self.names, self.sizes = list(phrases.values()), list(templates), [len(t.split()) for t in templates.values()]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[dict[int, int]] = [{}]  # state -> template -> least end of an occurrence
+        ends: list[dict[int, set[int]]] = [{}]  # state -> template -> ends of all occurrences
         for n, sequence in enumerate(sequences):
             last = 0
             for k, w in enumerate(sequence):
                 last = self._extend(last, self.vocabulary[w], ends)
                 if n >= len(phrases):
-                    ends[last].setdefault(n - len(phrases), k + 1)
+                    ends[last].setdefault(n - len(phrases), set()).add(k + 1)
         for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
             for t, e in ends[v].items():
-                up = ends[self.link[v]]
-                up[t] = min(e, up.get(t, e))
-        self.ends = ends
+                ends[self.link[v]].setdefault(t, set()).update(e)
+        self.ends = [{t: sorted(e) for t, e in x.items()} for x in ends]
         own: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (phrase, words) spelt by a state
         for i, p in enumerate(phrases):
             v = 0
@@ -130,7 +131,7 @@ class Automaton:
         """(phrase places, each template's coverage, (template, first word, end) of chains) in one text."""
         places: list[tuple[int, int]] = []
         best, where = [0.0] * len(self.names), [(0, 0)] * len(self.names)
-        chain: dict[int, tuple[int, int, int, int]] = {}  # template -> first word, end, template end, covered
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> open chains: first word, end, template end, covered
         for base, run in runs:
             stats = list(self.statistics(run))
             for i, (v, n) in enumerate(stats):
@@ -138,14 +139,18 @@ class Automaton:
                 if n < min_match or i + 1 < len(stats) and stats[i + 1][1] == n + 1:
                     continue
                 s, e = base + i + 1 - n, base + i + 1
-                for t, te in self.ends[v].items():
-                    first, end, t_end, covered = chain.get(t, (s, s, 0, 0))
-                    over = max(0, end - s, t_end - (te - n))
-                    if s - end > max_gap or te <= t_end or over >= n:
-                        first, covered, over = s, 0, 0
-                    chain[t] = (first, e, te, covered + n - over)
-                    if (c := chain[t][3] / self.sizes[t]) > best[t]:
-                        best[t], where[t] = c, (first, e)
+                for t, t_ends in self.ends[v].items():
+                    live = [c for c in chains.get(t, ()) if s - c[1] <= max_gap]
+                    chains[t] = live.copy()
+                    for te in t_ends:
+                        top, since = n, s
+                        for first, end, t_end, covered in live:
+                            over = max(0, end - s, t_end - (te - n))
+                            if te > t_end and over < n and (covered + n - over, -first) > (top, -since):
+                                top, since = covered + n - over, first
+                        chains[t].append((since, e, te, top))
+                        if (c := top / self.sizes[t]) > best[t]:
+                            best[t], where[t] = c, (since, e)
         return places, best, [(t, *w) for t, w in enumerate(where) if best[t]]
 
 

@@ -153,3 +153,54 @@ def test_statistics_are_longest_template_substrings():
         assert n == max(k for k in range(i + 2) if k == 0 or inside(text[i + 1 - k : i + 1]))
     places, _, _ = a.scan([(0, [a.vocabulary[w] for w in text])], 4, 20)
     assert sorted(p for p, _ in places) == [i for i in range(79) if text[i : i + 2] == ["a", "b"]]
+
+
+def test_repeated_passages_and_stray_matches_keep_a_chain():
+    a, bsd = L.Automaton(L.PHRASES, L.TEMPLATES), L.TEMPLATES["text:bsd"]
+    t = list(L.TEMPLATES).index("text:bsd")
+
+    def scan(text):
+        runs, run = [], []
+        for i, w in enumerate([*text.split(), ""]):
+            if w in a.vocabulary:
+                run.append(a.vocabulary[w])
+            elif run:
+                runs, run = [*runs, (i - len(run), run)], []
+        _, best, where = a.scan(runs, 4, 20)
+        return best[t], next((w[1:] for w in where if w[0] == t), None)
+
+    edited = bsd.replace("reproduce", "include").replace("in the documentation", "within the documentation")
+    assert scan(edited) == ((44 + 12 + 10) / 68, (0, 68))
+    w = bsd.split()
+    stray = " ".join(w[:40] + ["zzz"] + w[2:8] + ["zzz"] + w[40:])
+    assert scan(stray) == (1.0, (0, 76))
+    assert scan(" ".join(w[:34] + ["zzz"] * 21 + w[34:])) == (0.5, (0, 34))  # the gap is too long
+    # against all chains of all matches at all places, on words that repeat a lot
+    rng = random.Random(12)
+    for _ in range(60):
+        template = [rng.choice("ab") for _ in range(9)]
+        b, words = L.Automaton({}, {"x": " ".join(template)}), [rng.choice("abz") for _ in range(14)]
+        runs, matches = [], []
+        for i, x in enumerate(words):
+            if x in b.vocabulary:
+                if i and words[i - 1] in b.vocabulary:
+                    runs[-1][1].append(b.vocabulary[x])
+                else:
+                    runs.append((i, [b.vocabulary[x]]))
+        places = lambda v: [k + len(v) for k in range(len(template)) if template[k : k + len(v)] == v]
+        for e in range(1, len(words) + 1):
+            s = next((s for s in range(e) if places(words[s:e])), None)
+            if s is not None and e - s >= 2 and not (e < len(words) and places(words[s : e + 1])):
+                matches += [(s, e, te) for te in places(words[s:e])]
+
+        def cover(done, covered):
+            s0, e0, t0 = done
+            options = [covered]
+            for s, e, te in matches:
+                n, over = e - s, max(0, e0 - s, t0 - (te - e + s))
+                if e > e0 and te > t0 and s - e0 <= 3 and over < n:
+                    options.append(cover((s, e, te), covered + n - over))
+            return max(options)
+
+        best = max((cover(m, m[1] - m[0]) for m in matches), default=0)
+        assert b.scan(runs, 2, 3)[1] == [best / len(template)]
