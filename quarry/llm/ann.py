@@ -10,7 +10,8 @@ exact, whatever the data.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part; a query meets only vectors of its own length; ties go to the smaller id; rows sharing
-the query's id are its own; an empty table gives an empty result; other columns are not read.
+the query's id are its own; a query row that is repeated gives one list, and query rows of one id
+with different vectors a list each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def block_nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score): the k nearest of each query within one block pair."""
+    """(query's place, candidate id, score): the k nearest of each query row within one block pair."""
     dim = q.shape[1]
     kind = np.float32 if dim <= EXACT_FLOAT32 else np.float64  # products of codes stay exact integers
     (qc, qs, qa), (cc, cs, ca) = codes(q), codes(c)
@@ -84,7 +85,7 @@ def block_nearest(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarr
     order = np.lexsort((c_id[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    return q_id[i[place < k]], c_id[j[place < k]], score[place < k]
+    return i[place < k], c_id[j[place < k]], score[place < k]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -95,17 +96,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     stripes, blocks = max(1, -(-n // STRIPE)), max(1, -(-nq // QUERY_BLOCK))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = rows.where("q").select("dim", deal(blocks).alias("block"), every(stripes).alias("stripe"), "vec_id", "v")
+    asked = rows.where("q").select("dim", "vec_id", "v").distinct().withColumn("row", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
+    queries = asked.select("dim", deal(blocks).alias("block"), every(stripes).alias("stripe"), "vec_id", "row", "v")
     candidates = rows.select("dim", every(blocks).alias("block"), deal(stripes).alias("stripe"), "vec_id", "v")
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            at, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            ids = block_nearest(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), ids)))
+            at, ids, score = block_nearest(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k)
+        return pa.table({"query_id": left["vec_id"].take(pa.array(at)), "row": left["row"].take(pa.array(at)), "vec_id": ids, "score": score})
 
     key = ["dim", "block", "stripe"]
-    best = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(tile, "query_id long, vec_id long, score double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    best = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(tile, "query_id long, row int, vec_id long, score double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -85,6 +85,20 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_query_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "STRIPE", 30)
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.standard_normal(12).astype(np.float32).tolist()) for i in range(120)]
+    other = rng.standard_normal(12).astype(np.float32).tolist()
+    ask = F.col("vec_id") % 50 == 0
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nearest = lambda rows: sorted(tuple(r) for r in ann.nearest(frame(rows), ask & (F.col("vec_id") == 50)).collect())
+    once = nearest(vectors)
+    assert len({r[2] for r in once}) == 5 and nearest([*vectors, vectors[50], vectors[50]]) == once
+    moved = nearest([(50, other) if i == 50 else (i, v) for i, v in vectors])
+    assert nearest([*vectors, (50, other)]) == sorted([*once, *moved])
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(5)
     x, y = rng.standard_normal((40, 33)), rng.standard_normal((50, 33)) * 100
