@@ -1,6 +1,6 @@
 """Corpus-wide facts about hashes, found chunk by chunk.
 
-Documents are dealt by id into chunks of bounded text. A chunk sends each of its distinct
+Documents are dealt by id and text into chunks of bounded text. A chunk sends each of its distinct
 hashes once, packed by hash bucket; a bucket's task sees every chunk's pack and sends back
 one small number per hash, in the order received. Nothing per hash is shuffled as a row, a
 hash that fills a third of the corpus is sent once per chunk, and the chunk, which
@@ -16,24 +16,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import long_id, quoted, saved
+
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 _U = np.uint64
 
 
-def chunked(docs: DataFrame, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
-    """(chunk, doc_id, text), and how many chunks and hash buckets suit that much text."""
+#: literal repeats (same id, same text) beyond this many, or a millionth of all rows, are kept once with their number
+REPEATS, REPEATED_KEYS = 64, 1_000_000
+
+
+def text_key(text: str):
+    """A 64-bit hash of a text, which with the id tells rows apart."""
+    return F.xxhash64(quoted(text))
+
+
+def often_repeated(keys: DataFrame, n_rows: int) -> DataFrame:
+    """(doc_id, th, copies) of rows repeated too often for one chunk, from (doc_id, th) of all rows; a million at most, as their copies add up to all rows at most."""
+    limit = max(REPEATS, n_rows // REPEATED_KEYS)
+    return saved(keys.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > limit))
+
+
+def chunked(docs: DataFrame, n_rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text", keys: DataFrame | None = None) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, th, text, copies), and how many chunks and hash buckets suit that much text.
+
+    ``th`` is :func:`text_key`; ``keys``: (doc_id, th) of all rows, if known already.
+    """
     chunks = max(1, -(-total_bytes // CHUNK_BYTES))
-    rows = docs.select(chunk_of(F.col(doc_id), chunks).alias("chunk"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows, chunks, max(1, -(-total_bytes // BUCKET_BYTES))
+    rows = docs.select(long_id(docs, doc_id).alias("doc_id"), text_key(text).alias("th"), quoted(text).alias("text"), F.lit(1).cast("long").alias("copies"))
+    repeated = often_repeated(rows.select("doc_id", "th") if keys is None else keys, n_rows)
+    if not repeated.isEmpty():
+        listed = F.broadcast(repeated.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")))
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))
+        once = rows.join(listed, same, "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        rows = rows.join(listed, same, "left_anti").unionByName(once)
+    return rows.select(chunk_of(chunks).alias("chunk"), "*"), chunks, max(1, -(-total_bytes // BUCKET_BYTES))
 
 
-def chunk_of(doc_id, chunks: int):
-    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(chunks)).cast("int")
+def chunk_of(chunks: int):
+    """Rows of one id, or of none, are dealt by their texts."""
+    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(chunks)).cast("int")
 
 
 def in_order(chunk: pa.Table) -> pa.Table:
-    """A chunk's rows by doc_id (null last), then text: the same order whenever it is made."""
-    return chunk.take(pc.sort_indices(chunk, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+    """A chunk's rows by doc_id (null last), then hash of the text: the same order whenever it is made."""
+    return chunk.take(pc.sort_indices(chunk, [("doc_id", "ascending"), ("th", "ascending")])).combine_chunks()
 
 
 def pack(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

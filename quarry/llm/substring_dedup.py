@@ -11,8 +11,10 @@ window around them. What is left extends to whole windows, whose 80-bit hashes a
 compared across chunks to find the first start of each.
 
 Defined results: a null text has no words; texts shorter than a window keep all; rows that
-share a doc_id count as documents in order of text; a null doc_id sorts last; an empty
-table gives an empty result; other columns are not read.
+share a doc_id count as documents in order of a hash of their texts; a null doc_id sorts last;
+ids are integers; an empty table gives an empty result; other columns are not read. Rows of
+equal id and text beyond a few are worked on once, as all but the first lose every word
+that a window covers.
 """
 
 from __future__ import annotations
@@ -77,8 +79,7 @@ class Chunk:
             for j in range(1, self.window, 3):
                 more = (more ^ self.word[begin + j]) * _U(0x9FB21C651E98DF25)
             self.extra = (T.mix(more) >> _U(48)).astype(np.uint16)
-        ids = self.rows["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-        self.hash_doc = ids[self.row[begin]] if len(begin) else np.zeros(0, np.int64)
+        self.hash_row = self.row[begin]
 
     def kept(self, later: np.ndarray) -> pa.Table:
         """Each document with the words left; ``later``: whether an earlier document has the hash."""
@@ -106,17 +107,19 @@ class Chunk:
             edges = np.append(begin, len(out))
             raw = out.tobytes()
             parts += [raw[edges[x] : max(edges[x], edges[y] - 1)].decode("utf-8", "surrogatepass") for x, y in zip(at[:-1], at[1:])]
-        return pa.table({"doc_id": self.rows["doc_id"], "n_words": pa.array(self.count), "n_removed": pa.array(removed), "kept": pa.array(parts, pa.string())})
+        return pa.table({"doc_id": self.rows["doc_id"], "copies": self.rows["copies"], "n_words": pa.array(self.count), "n_removed": pa.array(removed), "kept": pa.array(parts, pa.string())})
 
 
 def _first_starts(sent: DataFrame) -> DataFrame:
-    """(bucket, chunk, pack): for each hash of each chunk, whether another chunk has it in a smaller doc_id."""
+    """(bucket, chunk, pack): for each hash of each chunk, whether another chunk has it in an earlier document."""
 
     def compare(rows: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, np.uint64) for x in rows["pack"].to_pylist()]
-        extra = [np.frombuffer(x, np.uint16) for x in rows["extra"].to_pylist()]
-        docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n in zip(rows["docs"].to_pylist(), rows["runs"].to_pylist())]
-        all_h, all_x, all_d = np.concatenate(h), np.concatenate(extra), np.concatenate(docs)
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in rows[name].to_pylist()]
+        h, extra = read("pack", np.uint64), read("extra", np.uint16)
+        docs, texts, runs = (np.concatenate(read(*x)) for x in (("docs", np.int64), ("texts", np.int64), ("runs", np.int32)))
+        place = np.empty(len(docs), np.int32)  # of each document among all that are named here
+        place[np.lexsort((texts, docs))] = np.arange(len(docs), dtype=np.int32)
+        all_h, all_x, all_d = np.concatenate(h), np.concatenate(extra), np.repeat(place, runs)
         order = np.lexsort((all_d, all_x, all_h))
         s_h, s_x = all_h[order], all_x[order]
         later = np.zeros(len(order), np.uint8)
@@ -132,8 +135,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
     small_batches(docs)
-    _, size = text_bytes(docs, text)
-    rows, _, buckets = C.chunked(docs, size, doc_id, text)
+    rows, _, buckets = C.chunked(docs, *text_bytes(docs, text), doc_id, text)
     by_chunk = rows.groupBy("chunk")
 
     def send_anchors(chunk: pa.Table) -> pa.Table:
@@ -150,22 +152,23 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
         return c
 
     def send_windows(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "pack", "extra", "docs", "runs")}
+        out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "pack", "extra", "docs", "texts", "runs")}
         if chunk.num_rows:
             c = with_windows(chunk, answers)
             by_doc, ends = _window_order(c, buckets)
             begin = np.concatenate([[0], ends[:-1]])
+            docs, texts = c.rows["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy(), c.rows["th"].to_numpy()
             for b in np.flatnonzero(ends > begin):
                 part = by_doc[begin[b] : ends[b]]
-                d = c.hash_doc[part]
+                d = c.hash_row[part]
                 cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                values = int(b), chunk["chunk"][0].as_py(), c.hash[part].tobytes(), c.extra[part].tobytes(), d[cut].tobytes(), np.diff(np.append(cut, len(d))).astype(np.int32).tobytes()
+                values = int(b), chunk["chunk"][0].as_py(), c.hash[part].tobytes(), c.extra[part].tobytes(), docs[d[cut]].tobytes(), texts[d[cut]].tobytes(), np.diff(np.append(cut, len(d))).astype(np.int32).tobytes()
                 for k, v in zip(out, values):
                     out[k].append(v)
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    sent = by_chunk.cogroup(levels.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, pack binary, extra binary, docs binary, runs binary")
+    sent = by_chunk.cogroup(levels.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, pack binary, extra binary, docs binary, texts binary, runs binary")
     later = _first_starts(sent).select("chunk", "bucket", "pack", F.lit(2).alias("step"))
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -177,7 +180,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
             flags[_window_order(c, buckets)[0]] = np.frombuffer(b"".join(mine["pack"].to_pylist()), np.uint8)
         return c.kept(flags)
 
-    return by_chunk.cogroup(levels.unionByName(later).groupBy("chunk")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    done = by_chunk.cogroup(levels.unionByName(later).groupBy("chunk")).applyInArrow(finish, "doc_id long, copies long, n_words long, n_removed long, kept string")
+    again = (F.col("_copy") > 1) & (F.col("n_words") >= window)  # every window of a later copy starts earlier too
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "doc_id", "n_words", F.when(again, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(again, "").otherwise(F.col("kept")).alias("kept"))
 
 
 def _window_order(c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
