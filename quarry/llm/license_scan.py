@@ -10,11 +10,13 @@ Base labels: a phrase stands wherever it is a suffix of the current match. The m
 labels: matches of ``min_match`` words or more are chained in template order, gaps of up to
 ``max_gap`` words allowed, and a template is found when a chain covers ``min_cover`` of it.
 A match may stand at each place of its words in the template, and extends whichever open chain
-covers most with it; the others stay open until the gap closes them.
+covers most with it; the others stay open until the gap closes them. A match counts for the
+templates that hold all of it, so of licences that share most words the closer one is found.
 ``score`` is the best template's coverage, or 0.5 at least where a base phrase stands.
 
 Defined results: a null text has no words; texts of any length are scanned whole; repeated
-rows are scanned each; other columns are passed through, those named as an added column replaced.
+rows are scanned each; an empty table gives an empty result; other columns are passed through,
+those named as an added column replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +26,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T_sql
+from pyspark.sql.pandas.types import from_arrow_type
 
 from . import text as T
-from .shared import small_batches
+from .shared import columns_of, small_batches
 
 # fixed values: the base phrases and their labels
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+# fixed values: licence wording as published, in words
 TEMPLATES = {
     "text:mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "text:apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "text:gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "text:bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "text:mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "text:bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "text:isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "text:lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+    "text:agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+    "text:mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "text:unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "notice:mit": "released under the mit license",
     "notice:apache-2.0": "licensed under the apache license version 2 0",
     "notice:gpl-3": "this work is licensed under the gnu general public license version 3",
@@ -160,8 +173,11 @@ def license_scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] =
     shared = small_batches(docs).sparkContext.broadcast(automaton)
     added = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("template_spans", pa.string())]
     docs = docs.drop(*(n for n, _ in added))
-    others = docs.columns
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, template_spans string"])
+    names, at = docs.columns, docs.columns.index(text)
+    docs = docs.select(*(c.alias(f"c{i}") for i, c in enumerate(columns_of(docs))))  # plain names, whatever the caller's hold
+    text, others = f"c{at}", docs.columns
+    fields = T_sql.StructType([*docs.schema.fields, *(T_sql.StructField(n, from_arrow_type(kind)) for n, kind in added)])
+    least = min([min_match, *(len(p.split()) for p in phrases)])  # shorter runs hold neither a phrase nor a match
 
     def one(a: Automaton, runs: list[tuple[int, list[int]]], n_words: int) -> tuple:
         places, best, where = a.scan(runs, min_match, max_gap)
@@ -188,12 +204,11 @@ def license_scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] =
                 begin = np.flatnonzero(known & ~joined)  # runs of vocabulary words inside a row
                 size = np.add.reduceat(known.astype(np.int64), begin) if len(begin) else begin
                 runs: dict[int, list] = {}
-                for b, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+                for b, n in zip(begin[size >= least].tolist(), size[size >= least].tolist()):
                     r = int(row[b])
                     runs.setdefault(r, []).append((b - int(first[r]), ids[b : b + n].tolist()))
                 rows = [one(a, runs[r], int(count[r])) if r in runs else (int(count[r]), 0, None, None, "", "", 0.0, "") for r in range(hi - lo)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in others), *(pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), added))], [*others, *(n for n, _ in added)])
 
-    return docs.mapInArrow(scanned, fields)
-
+    return docs.mapInArrow(scanned, fields).select(*(F.col(c).alias(n) for c, n in zip(others, names)), *(n for n, _ in added))
