@@ -14,8 +14,11 @@ not hide it. A rest of 8 characters or more that is part of one unbroken string
 access span counts together with that span.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
-scanned whole; repeated rows are scanned each; other columns are passed through, those named as an
-added column replaced.
+scanned whole; repeated rows are scanned each; an empty table gives an empty result; other columns
+are passed through, those named as an added column replaced.
+
+The vocabulary is a file of tiktoken ranks, by default the byte-level one under /opt/tokenizers; its
+path is a parameter, and only the driver reads it there.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import side_file, small_batches
+from .shared import quoted, side_file, small_batches, spare_name
 
 # fixed values: the patterns and lengths of the base kinds
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -231,6 +234,7 @@ def secret_scan(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
                 rows.append(row + ([redact(t, spans, redacted) if spans else t] if redacted is not None else []))
             yield pd.DataFrame(rows, columns=[*added, *(["redacted"] if redacted is not None else [])])
 
-    out = docs.withColumn("_scan", scanned(F.col(text)))
-    kept = [F.col("_scan.redacted").alias(text) if c == text and redacted is not None else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, *(F.col(f"_scan.{c}").alias(c) for c in added))
+    scan = spare_name(docs, "_scan")
+    out = docs.select("*", scanned(quoted(text)).alias(scan))
+    kept = [F.col(scan)["redacted"].alias(text) if c == text and redacted is not None else quoted(c) for c in docs.columns]
+    return out.select(*kept, *(F.col(scan)[c].alias(c) for c in added))
