@@ -10,36 +10,40 @@ then computed exactly over all shingles of the item.
 A plain MinHash banding cannot do this: the Jaccard similarity of a 30-word item and a
 20,000-word document is about 0.001, where banding misses most pairs.
 
-Benchmarks of any size are searched in blocks of bounded text; each block is broadcast.
+A benchmark of up to ``BLOCK_BYTES`` of text is broadcast and searched in one lazy pass. A
+larger one is searched block by block, a pass each: the driver makes one block at a time, its
+matches go to the shared folder, and its broadcast is destroyed before the next is made.
 
 Defined results: an item of 1 to k-1 words is one shingle of its own length and matches that word
 sequence; items and documents that are null or without words match nothing; repeated rows
-match each; empty tables give an empty result; other columns are not read.
+match each; ids may be of any type and null; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_sql
 
 from . import text as T
-from .shared import small_batches
+from .shared import quoted, saved, small_batches
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 
 class Sketches:
     """The items of one block: shingle sets and, by size partition, their sketches."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], k: int, threshold: float):
+    def __init__(self, item_ids: pa.Array, texts: list[str], k: int, threshold: float):
         row, h = T.row_shingles(pa.array(texts, pa.large_string()), k)
         words = np.bincount(T.words(pa.array(texts, pa.large_string()), fold=True)[0], minlength=len(texts))
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        self.ids, self.length = np.asarray(item_ids, np.int64), np.minimum(words, k)
+        self.ids, self.length = item_ids, np.minimum(words, k)
         self.sets = [h[ends[i] : ends[i + 1]] for i in range(len(texts))]
         self.need = np.array([needed(len(s), threshold) for s in self.sets], np.int64)
         # partition: (shingle length, size class) -> smallest need, sketch hashes and their items
@@ -89,28 +93,34 @@ def needed(n: int, threshold: float) -> int:
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every document that holds an item; see the module."""
     spark = small_batches(docs)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
+    items = benchmark.select(quoted(item_id).alias("i"), quoted(item_text).alias("t")).where("t is not null")
+    rows = docs.select(quoted(doc_id).alias("d"), quoted(text).alias("t"))
+    fields = T_sql.StructType([
+        T_sql.StructField("doc_id", rows.schema["d"].dataType), T_sql.StructField("item_id", items.schema["i"].dataType),
+        T_sql.StructField("n_shared", T_sql.LongType()), T_sql.StructField("n_item", T_sql.LongType()),
+    ])
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     parts = []
     for b in range(blocks):
-        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)).orderBy("i", "t").collect()
-        sketches = spark.sparkContext.broadcast(Sketches([r["i"] for r in rows], [r["t"] for r in rows], k, threshold))
+        block = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)).orderBy("i", "t").toArrow()
+        sketches = spark.sparkContext.broadcast(Sketches(block["i"].combine_chunks(), block["t"].to_pylist(), k, threshold))
+        del block
 
         def search(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
             s = sketches.value
             for batch in batches:
                 for a, e in T.slices(batch["t"]):
-                    ids = batch["d"][a:e]
                     found = list(s.search(batch["t"][a:e]))
-                    item = np.array([i for _, i, _ in found], np.int64)
+                    item = [i for _, i, _ in found]
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array([r for r, _, _ in found], pa.int64())), pa.array(s.ids[item]), pa.array([n for _, _, n in found], pa.int64()),
+                        batch["d"][a:e].take(pa.array([r for r, _, _ in found], pa.int64())), s.ids.take(pa.array(item, pa.int64())), pa.array([n for _, _, n in found], pa.int64()),
                         pa.array([len(s.sets[i]) for i in item], pa.int64()),
                     ], ["doc_id", "item_id", "n_shared", "n_item"])
 
-        parts.append(docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+        found = rows.mapInArrow(search, fields)
+        if blocks > 1:
+            found = saved(found)
+            sketches.destroy()
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts).withColumn("containment", F.col("n_shared") / F.col("n_item"))
