@@ -6,18 +6,19 @@ as such. Training walks over
 documents with follow-the-regularised-leader (proximal) updates; a score is the logistic of
 a sparse dot product over all of a text.
 
-Training rows are the ``max_train`` labelled rows with the smallest hash of their id, a
-documented bound on fitting (texts of over 50,000 bytes are not learnt from). They are used
-whole and every document is scored whole.
+Training rows are those of the ``max_train`` labelled ids with the smallest hash, a documented
+bound on fitting, one row an id. They are used whole and every document is scored whole.
 
 Defined results: null and empty texts score the intercept; labels that are null are not
-learnt from; without any training row every score is 0.5; repeated rows are scored each;
-other columns of the inputs are not read.
+learnt from; an id with several labels counts as the largest, with several texts as the least of
+them; without any training row every score is 0.5; repeated rows are scored each; an empty
+table gives an empty result; other columns of the inputs are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import saved, small_batches
+from .shared import quoted, saved, small_batches
 
 BUCKETS = 1 << 18
 SCALE = 20.0
@@ -68,12 +69,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: i
     return weights(np.arange(BUCKETS + 1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int, doc_id: str, text: str, max_text_bytes: int = 50_000) -> DataFrame:
-    """(_id, _text, _label) of at most ``max_train`` labelled rows, chosen by hash of the id; of those, texts of over ``max_text_bytes`` are not learnt from."""
-    rows = labels.where(learn & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
-    chosen = saved(rows.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train))
-    short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= max_text_bytes)
-    return short.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int, doc_id: str, text: str, balanced: bool = False) -> DataFrame:
+    """(_id, _label, _text): one row for each of at most ``max_train`` labelled ids (``balanced``: of each class), chosen by hash; one scan of the documents."""
+    rows = labels.where(learn & quoted(label).isNotNull()).select(quoted(doc_id).alias("_id"), quoted(label).cast("int").alias("_label"))
+    rows = rows.where("_id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
+    classes = [rows.where("_label = 1"), rows.where("_label = 0")] if balanced else [rows]
+    chosen = saved(reduce(DataFrame.unionByName, [c.orderBy(F.xxhash64("_id"), "_id").limit(max_train) for c in classes]))
+    texts = docs.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    return texts.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 6000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -112,8 +115,8 @@ def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + weights[-1], -30, 30)))
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1."""
+def score_of(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Column:
+    """The score of each text of ``docs``, from 0 to 1."""
     shared = small_batches(docs).sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
@@ -121,4 +124,9 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
         for texts in batches:
             yield pa.array(score_texts(texts, shared.value))
 
-    return docs.withColumn(name, score(F.col(text)))
+    return score(quoted(text))
+
+
+def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column of scores from 0 to 1; a column of that name is replaced."""
+    return docs.withColumn(name, score_of(docs, weights, text))

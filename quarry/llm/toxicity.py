@@ -2,17 +2,20 @@
 
 A word is the mean of the embeddings of its character 3- to 5-grams (with word-end marks)
 and of itself, all hashed into buckets, so an unseen misspelling shares most vectors of the
-word it distorts. A segment of ``SEGMENT`` words is the mean of its words; a linear softmax
-turns it into a probability, and a text is as toxic as its worst segment. Embeddings and
-softmax are trained together in numpy on document labels: the loss pools a document's
-segments by a soft maximum, whose gradient goes to the segments that explain the label.
+word it distorts. The average over ``segment`` words is taken by a linear softmax, and a text
+is as toxic as its worst segment; with ``segment`` None a text is one segment, the average of
+all its words. Embeddings and softmax are trained together in numpy on document labels: the
+loss pools a document's segments by a soft maximum, whose gradient goes to the segments that
+explain the label. The README has the figures of both.
 
-Training rows are at most ``max_train`` labelled rows of each class with the smallest hash of their
-id, a documented bound on fitting; texts of over 50,000 bytes are not learnt from. Every document is scored over its whole text.
+Training rows are those of at most ``max_train`` labelled ids of each class with the smallest hash, a
+documented bound on fitting, one row an id. Every document is learnt from and scored over its
+whole text.
 
 Defined results: null and empty texts score the intercept; null labels are not learnt from;
-without both classes every score is 0; repeated rows are scored each; other columns of the
-inputs are not read.
+an id with several labels counts as the largest, with several texts as the least of them;
+without both classes every score is 0; repeated rows are scored each; an empty table gives an
+empty result; other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .quality import training_rows
-from .shared import small_batches
+from .shared import quoted, small_batches
 
 BUCKETS, DIM, SEGMENT, SIZES = 1 << 17, 4, 2, (3, 4, 5)
 _U = np.uint64
@@ -61,15 +64,17 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndar
     return (grams[order] >> _U(64 - 17)).astype(np.int64), np.cumsum(np.bincount(own, minlength=len(size)))
 
 
-def segments(row: np.ndarray) -> np.ndarray:
-    """Each word's segment: consecutive runs of SEGMENT words of a row."""
+def segments(row: np.ndarray, size: int | None) -> np.ndarray:
+    """Each word's segment: consecutive runs of ``size`` words of a row, or its row."""
     new = np.ones(len(row), bool)
     new[1:] = row[1:] != row[:-1]
+    if size is None:
+        return np.cumsum(new) - 1
     place = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-    return np.cumsum(new | (place % SEGMENT == 0)) - 1
+    return np.cumsum(new | (place % size == 0)) - 1
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.3, sharp: float = 1.0) -> np.ndarray:
+def fit(texts: list[str], labels: np.ndarray, segment: int | None = SEGMENT, epochs: int = 50, rate: float = 0.3, sharp: float = 1.0) -> np.ndarray:
     """The score of each bucket, embedding times softmax, then the intercept."""
     rng = np.random.default_rng(11)
     array = pa.array(texts, pa.large_string())
@@ -80,7 +85,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.
     grams, ends = subwords(data, start[first], end[first], distinct)
     begin = np.concatenate([[0], ends[:-1]])
     count = (ends - begin).astype(np.float32)
-    seg = segments(row)
+    seg = segments(row, segment)
     n_seg = int(seg[-1]) + 1
     seg_row = row[np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))]
     seg_size = np.bincount(seg, minlength=n_seg).astype(np.float32)
@@ -130,25 +135,24 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, rate: float = 0.
     return np.append(scores, bias[1] - bias[0]).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 1000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_train: int = 1000, doc_id: str = "doc_id", text: str = "text", segment: int | None = SEGMENT) -> np.ndarray:
     """The model; the bounded sample is learnt in one task."""
     small_batches(docs)
-    rows = training_rows(docs, labels.where(F.col(label) == 1), label, learn, max_train, doc_id, text).unionByName(
-        training_rows(docs, labels.where(F.col(label) == 0), label, learn, max_train, doc_id, text))
+    rows = training_rows(docs, labels, label, learn, max_train, doc_id, text, balanced=True)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = pd.concat([pd.DataFrame({"_id": [], "_text": [], "_label": []}), *parts]).sort_values(["_id", "_label"], kind="stable")
         y = both["_label"].to_numpy(dtype=np.int64)
         texts = [t or "" for t in both["_text"]]
         fair = 0 < y.sum() < len(y) and any(map(str.strip, texts))
-        model = fit(texts, y) if fair else np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
+        model = fit(texts, y, segment) if fair else np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
         yield pd.DataFrame({"m": [model.tobytes()]})
 
     found = rows.repartition(1).mapInPandas(run, "m binary").collect()
     return np.frombuffer(found[0]["m"], np.float32) if found else np.append(np.zeros(BUCKETS), -np.inf).astype(np.float32)
 
 
-def score_texts(texts: pa.Array, model: np.ndarray, shift: float = 0.0) -> np.ndarray:
+def score_texts(texts: pa.Array, model: np.ndarray, segment: int | None = SEGMENT) -> np.ndarray:
     gap = np.full(len(texts), -np.inf)
     for a, e in T.slices(texts):
         data, offsets = T.buffers(texts[a:e])
@@ -159,21 +163,21 @@ def score_texts(texts: pa.Array, model: np.ndarray, shift: float = 0.0) -> np.nd
         grams, ends = subwords(data, start[first], end[first], distinct)
         begin = np.concatenate([[0], ends[:-1]])
         each = np.add.reduceat(model[grams], begin) / (ends - begin)
-        seg = segments(row)
+        seg = segments(row, segment)
         seg_at = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         mean = np.add.reduceat(each[word], seg_at) / np.diff(np.append(seg_at, len(seg)))
         np.maximum.at(gap, a + row[seg_at], mean)
     gap[np.isneginf(gap)] = 0
-    return 1 / (1 + np.exp(-np.clip(gap + float(model[-1]) + shift, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(gap + float(model[-1]), -30, 30)))
 
 
-def scored(docs: DataFrame, model: np.ndarray, text: str = "text", name: str = "score", shift: float = 0.0) -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1."""
+def scored(docs: DataFrame, model: np.ndarray, text: str = "text", name: str = "score", segment: int | None = SEGMENT) -> DataFrame:
+    """``docs`` with a column of scores from 0 to 1; a column of that name is replaced."""
     shared = small_batches(docs).sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(score_texts(texts, shared.value, shift))
+            yield pa.array(score_texts(texts, shared.value, segment))
 
-    return docs.withColumn(name, score(F.col(text)))
+    return docs.withColumn(name, score(quoted(text)))
