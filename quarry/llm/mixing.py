@@ -10,6 +10,10 @@ budget ends is split again, to the last bit. Nothing is sorted by hash and rerun
 Rows of equal hash (the same doc_id) stand or fall together. The rows taken are the
 prefix in order of hash whose sum ends nearest to the budget.
 
+Rows of one source may be a third of all: sums are made before any exchange, and the sources'
+targets and thresholds are broadcast where there are up to ``MAX_BROADCAST_SOURCES`` of them.
+Targets need all sources in one task, a row each.
+
 Defined results: a null text has size 0; null doc_id and null source are values like any
 other; repeated rows count each; an empty table gives an empty result; only doc_id, text
 and source are read, so clashing names of other columns do not matter.
@@ -51,16 +55,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     return s.select("_key", "source_size", target.alias("target"))
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(_key, _below): hashes up to ``_below`` hold the prefix of each source nearest to its ``_budget``."""
+def thresholds(sizes: DataFrame, budgets: DataFrame, few: bool = False) -> DataFrame:
+    """(_key, _below): hashes up to ``_below`` hold the prefix of each source nearest to its ``_budget``. ``few``: the sources are few enough for broadcasts."""
+    side = F.broadcast if few else lambda df: df
     # _done: sum of what lies below the boundary bucket; _prefix: that bucket
     state = budgets.select("_key", "_budget", F.lit(0).cast("long").alias("_done"), F.lit(0).cast("long").alias("_prefix"), F.lit(False).alias("_all"))
     for shift in range(BITS - LEVEL, -1, -LEVEL):
-        inside = sizes.join(state.select("_key", "_prefix"), "_key").where(F.shiftrightunsigned("_hash", shift + LEVEL) == F.col("_prefix"))
+        inside = sizes.join(side(state.select("_key", "_prefix")), "_key").where(F.shiftrightunsigned("_hash", shift + LEVEL) == F.col("_prefix"))
         histogram = inside.groupBy("_key", F.shiftrightunsigned("_hash", shift).alias("_bucket")).agg(F.sum("size").alias("_size"))
         running = Window.partitionBy("_key").orderBy("_bucket")
         found = (
-            histogram.join(state, "_key").withColumn("_cum", F.col("_done") + F.sum("_size").over(running))
+            histogram.join(side(state), "_key").withColumn("_cum", F.col("_done") + F.sum("_size").over(running))
             .where(F.col("_cum") > F.col("_budget"))
             .groupBy("_key").agg(F.min(F.struct("_bucket", (F.col("_cum") - F.col("_size")).alias("_done"), "_cum")).alias("_at"))
         )
@@ -80,12 +85,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     key = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source)))
     sizes = saved(docs.select(F.col(doc_id).alias("doc_id"), size_of(F.col(text)).alias("size"), key.alias("_key"), hash60(F.col(doc_id), seed).alias("_hash")))
     targets = saved(source_targets(sizes, weights, cap))
-    if targets.count() <= MAX_BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+    few = targets.count() <= MAX_BROADCAST_SOURCES
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("_times", times).withColumn("_budget", F.col("target") - F.col("_times") * F.col("source_size"))
-    limits = targets.join(thresholds(sizes, targets), "_key")
-    if limits.count() <= MAX_BROADCAST_SOURCES:
+    limits = targets.join(thresholds(sizes, targets, few), "_key")
+    if few:
         limits = F.broadcast(limits)
     taken = F.col("size") * (F.col("_times") + (F.col("_hash") <= F.col("_below")).cast("long"))
     return sizes.join(limits, "_key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
