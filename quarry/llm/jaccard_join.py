@@ -19,12 +19,14 @@ when 100 * |intersection| >= 80 * |union|.
 5. Links between groups become components by alternating large and small stars.
 
 A link is only left unemitted when both ends are already known to be connected. No group
-is capped: larger ones are split, all pairs of blocks that the matrix names are met.
+is capped: larger ones are split, all pairs of blocks that the matrix names are met. Keys that
+hold many rows (a set with many copies, a MinHash, a root, a token) are joined by
+:func:`shared.spread_join` or dealt into parts, so that none of them fills a task.
 
 Defined results: null texts and texts without words have the empty set and link with nothing;
 fewer than ``k`` words are one shingle; repeated rows are equal sets; rows that share a
-doc_id each get the component of their own text; an empty table gives an empty result;
-other columns are not read.
+doc_id each get the component of their own text; a component of rows without doc_id has none;
+ids are integers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import text as T
-from .shared import saved, small_batches, text_bytes
+from .shared import long_id, quoted, saved, small_batches, spread_join, text_bytes
 
-GROUP, ROUNDS = 256, 3
+GROUP, PART, ROUNDS = 256, 2048, 3
+ROWS = ["doc_id", "th", "n", "leader"]
 _U = np.uint64
 
 
@@ -56,7 +59,7 @@ def prints(h: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def set_sizes(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, fp): each row's number of distinct shingles and its set's fingerprint."""
+    """(doc_id, th, n, fp): each row's hash of the text, number of distinct shingles and its set's fingerprint."""
 
     small_batches(docs)
 
@@ -65,9 +68,9 @@ def set_sizes(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
             for a, e in T.slices(batch["t"]):
                 row, h = T.row_shingles(batch["t"][a:e], k)
                 ends = np.searchsorted(row, np.arange(e - a + 1))
-                yield pa.RecordBatch.from_arrays([batch["d"][a:e], pa.array(np.diff(ends)), pa.array(prints(h, ends), pa.binary())], ["doc_id", "n", "fp"])
+                yield pa.RecordBatch.from_arrays([batch["d"][a:e], batch["th"][a:e], pa.array(np.diff(ends)), pa.array(prints(h, ends), pa.binary())], ["doc_id", "th", "n", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(measure, "doc_id long, n long, fp binary")
+    return docs.select(long_id(docs, doc_id).alias("d"), C.text_key(text).alias("th"), quoted(text).alias("t")).mapInArrow(measure, "doc_id long, th long, n long, fp binary")
 
 
 class Chunk:
@@ -160,36 +163,36 @@ def link_block(rows: pa.Table, threshold: int) -> pa.Table:
 
 
 def open_group(queries: pa.Table, members: pa.Table, threshold: int) -> pa.Table:
-    """(a, b): a link of each query set with the group's, if there is one."""
-    links = []
+    """(a, b): the roots of query sets that link with one of the group's, and the group's root."""
+    linked: set[int] = set()
     if queries.num_rows and members.num_rows:
         s = Sets(members)
-        for q, n, raw in zip(queries["id"].to_pylist(), queries["n"].to_pylist(), queries["tokens"].to_pylist()):
-            places = s.find(np.frombuffer(raw, np.uint64))
-            if 100 * len(places) < threshold * n:  # the bound: no member shares more than the union does
+        for own, n, raw in zip(queries["own"].to_pylist(), queries["n"].to_pylist(), queries["tokens"].to_pylist()):
+            if own in linked:
                 continue
-            near = s.linked(places, n, threshold)
-            if len(near):
-                links.append((q, int(s.id[near[0]])))
-    a, b = zip(*links) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            places = s.find(np.frombuffer(raw, np.uint64))
+            # the bound: no member shares more than the union does
+            if 100 * len(places) >= threshold * n and len(s.linked(places, n, threshold)):
+                linked.add(own)
+    roots = queries["root"].slice(0, 1).to_pylist() * len(linked)
+    return pa.table({"a": pa.array(sorted(linked), pa.int64()), "b": pa.array(roots, pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id in ``edges`` (a, b)."""
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, count = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        edges = spread_join(both.where("v > u"), least, ["u"], 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = spread_join(edges, least, ["u"], 2 * count)
         edges = saved(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())  # small star
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        seen = now
+        seen, count = now, now[0]
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -197,18 +200,19 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, step: DataFrame, total: int) -> DataFrame:
     """``labels`` (id, root) with each root replaced by its own root in ``step``, where it has one."""
     step = step.where("id <> root").select(F.col("id").alias("root"), F.col("root").alias("_to"))
-    return labels.join(step, "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    roots = labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).join(step, "root", "left")
+    return spread_join(labels, roots, ["root"], total).select("id", F.coalesce("_to", "root").alias("root"))
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: int, doc_id: str, text: str) -> DataFrame:
-    """(id, fp, n, prefix, minhash, tokens, hub) of the classes that may link with another, of classes (fp, doc_id)."""
+def similar_classes(docs: DataFrame, measured: DataFrame, classes: DataFrame, total: int, k: int, threshold: int, doc_id: str, text: str) -> DataFrame:
+    """(id, fp, n, prefix, minhash, tokens, hub) of the classes that may link with another, of classes (fp, doc_id, th)."""
     _, size = text_bytes(docs, text)
-    rows, count, buckets = C.chunked(docs, size, doc_id, text)
-    by_chunk = rows.groupBy("chunk")
-    stands = classes.select(C.chunk_of(F.col("doc_id"), count).alias("chunk"), "doc_id", "fp", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("pack"))
+    rows, count, buckets = C.chunked(docs, total, size, doc_id, text, measured.select("doc_id", "th"))
+    by_chunk = rows.select("chunk", "doc_id", "th", "text").groupBy("chunk")
+    stands = classes.select(C.chunk_of(count).alias("chunk"), "doc_id", "fp", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("pack"))
 
     def send(chunk: pa.Table, stand: pa.Table) -> pa.Table:
         if not chunk.num_rows or not stand.num_rows:
@@ -227,26 +231,31 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: int,
     return saved(kept.withColumn("id", F.monotonically_increasing_id()))
 
 
-def grouped(rows: DataFrame, *key: str) -> DataFrame:
-    """``rows`` with ``block``, which splits what shares ``key`` into blocks of about GROUP rows."""
-    blocks = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_blocks"))
-    return rows.join(blocks, list(key)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+def part_of(column: str, size: int):
+    """Which part of ``size`` rows or so a row of ``_n`` rows falls into."""
+    return F.pmod(F.xxhash64(column), F.ceil(F.col("_n") / size)).cast("int")
 
 
 def class_components(sets: DataFrame, threshold: int) -> DataFrame:
     """(id, root) for the classes of :func:`similar_classes`."""
-    labels = saved(sets.select("id", F.col("id").alias("root")))
-    roots = sets
+    total = sets.count()
+    counted = F.count(F.lit(1)).alias("_n")
+    moved, roots = [], sets
     for r in range(ROUNDS):
-        named = grouped(roots.select("id", F.element_at("minhash", r + 1).alias("m"), F.col("hub").alias("_fit")), "m")
-        hubs = named.groupBy("m").agg(F.max_by("id", F.struct("_fit", "id")).alias("hub"))
-        named = named.join(hubs, "m").select("m", "block", "id", "hub")
+        named = roots.select("id", F.element_at("minhash", r + 1).alias("m"), F.col("hub").alias("_fit"))
+        same = named.groupBy("m").agg(counted, F.max_by("id", F.struct("_fit", "id")).alias("hub")).where("_n > 1")
+        named = spread_join(named, same, ["m"], total).select("m", part_of("id", GROUP).alias("block"), "id", "hub")
         named = named.unionByName(named.select("m", "block", F.col("hub").alias("id"), "hub").distinct()).distinct()
         found = fresh(roots.select("id", "n", "tokens").join(named, "id")).groupBy("m", "block").applyInArrow(lambda rows: link_block(rows, threshold), "id long, root long")
-        found = saved(found.distinct())
-        labels = saved(relabelled(labels, found))
-        roots = roots.join(found.where("id = root").select("id"), "id", "left_semi")
-    groups = saved(grouped(labels, "root"))
+        moved.append(saved(found.where("id <> root").distinct()))
+        roots = roots.join(moved[-1].select("id"), "id", "left_anti")
+    last = moved.pop()
+    while moved:  # where a round's roots went in later rounds
+        step = moved.pop()
+        last = saved(last.unionByName(relabelled(step, last, total)))
+    labels = saved(sets.select("id").join(last, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    sizes = labels.groupBy("root").agg(counted)
+    groups = saved(spread_join(labels, sizes, ["root"], total).select("id", "root", part_of("id", GROUP).alias("block")))
 
     def rare(tokens: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         return np.frombuffer(tokens, np.int64)[: int(prefix)]
@@ -262,35 +271,48 @@ def class_components(sets: DataFrame, threshold: int) -> DataFrame:
 
     named = sets.select("id", "n", "prefix", "tokens").join(groups, "id")
     tokens = saved(named.mapInArrow(explode, "token long, rest long, id long, n long, root long, block int"))
-    several = tokens.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("token")
-    tokens = tokens.join(several, "token", "left_semi")
-    matrix = tokens.groupBy("token", "root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    several = tokens.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), counted)
+    shared = spread_join(tokens, several, ["token"], tokens.count()).where("_a < _b").withColumn("part", part_of("id", PART))
+    matrix = shared.groupBy("token", "root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.first("_n").alias("_n"))
+    matrix = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / PART) - 1).cast("int")))).drop("_n")
     # The larger root queries the smaller, so each pair of groups meets once. A link needs sizes within the threshold and an
     # overlap of threshold / (100 + threshold) of both sizes; at the first token two sets have in common, it must fit into
     # what either has from there on in the common order.
-    q = tokens.select("token", "id", "n", F.col("rest").alias("own_rest"), F.col("root").alias("own"))
+    q = shared.select("token", "part", "id", "n", F.col("rest").alias("own_rest"), F.col("root").alias("own"))
     fits = (F.col("own") > F.col("root")) & (100 * F.col("n") >= threshold * F.col("least")) & (threshold * F.col("n") <= 100 * F.col("most"))
     fits &= (100 + threshold) * F.least("own_rest", "rest") >= threshold * (F.col("n") + F.col("least"))
-    meets = saved(q.join(matrix, "token").where(fits).select("id", "root", "block").distinct())
-    if meets.isEmpty():
+    meets = saved(q.join(matrix, ["token", "part"]).where(fits).select("id", "own", "root", "block").distinct())
+    if not (n_meets := meets.count()):
         return labels
-    opened = meets.select("root", "block").distinct()
-    queries = fresh(meets.join(sets.select("id", "n", "tokens"), "id"))
-    members = fresh(sets.select("id", "n", "tokens").join(groups.join(opened, ["root", "block"]), "id"))
-    links = queries.groupBy("root", "block").cogroup(members.groupBy("root", "block")).applyInArrow(lambda q, m: open_group(q, m, threshold), "a long, b long")
-    ends = links.join(labels.select(F.col("id").alias("a"), F.col("root").alias("_a")), "a").join(labels.select(F.col("id").alias("b"), F.col("root").alias("_b")), "b")
-    return relabelled(labels, components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    opened = meets.groupBy("root", "block").agg(counted)
+    asked = spread_join(meets, opened, ["root", "block"], n_meets).withColumn("part", part_of("id", GROUP))
+    queries = fresh(asked.select("id", "own", "root", "block", "part").join(sets.select("id", "n", "tokens"), "id"))
+    opened = opened.withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / GROUP) - 1).cast("int")))).drop("_n")
+    members = fresh(sets.select("id", "n", "tokens").join(groups, "id").join(opened, ["root", "block"]))
+    key = ["root", "block", "part"]
+    links = queries.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(lambda q, m: open_group(q, m, threshold), "a long, b long")
+    return relabelled(labels, components(links), total)
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, n_shingles, leader) of every document; see the module. ``leader``: (none, doc_id, th) of the first row of
+    the component, ordered by doc_id (those without one last), then ``th``, the hash of the text."""
+    measured = saved(set_sizes(docs, k, doc_id, text))
+    total = measured.count()
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = measured.where("n > 0").groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("_n"))
+    classes = saved(classes.select("fp", "first", "first.doc_id", "first.th", "_n"))
+    sets = similar_classes(docs, measured, classes, total, k, threshold, doc_id, text)
+    labels = class_components(sets.select("id", "n", "prefix", "minhash", "tokens", "hub"), threshold)
+    named = sets.select("id", "fp").join(labels, "id").join(classes.select("fp", "first"), "fp")
+    roots = named.groupBy("root").agg(F.min("first").alias("leader"), F.count(F.lit(1)).alias("_n"))
+    leaders = spread_join(named.select("fp", "root"), roots, ["root"], total).select("fp", "leader")
+    leaders = classes.join(leaders, "fp", "left").select("fp", F.coalesce("leader", "first").alias("leader"), "_n")
+    alone = measured.where("n = 0").withColumn("leader", first)
+    linked = spread_join(measured.where("n > 0"), leaders, ["fp"], total)
+    return linked.select(*ROWS).unionByName(alone.select(*ROWS)).withColumnRenamed("n", "n_shingles")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module. ``threshold``: in hundredths."""
-    measured = saved(set_sizes(docs, k, doc_id, text))
-    classes = saved(measured.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    sets = similar_classes(docs, classes, k, threshold, doc_id, text)
-    labels = class_components(sets.select("id", "n", "prefix", "minhash", "tokens", "hub"), threshold)
-    named = sets.select("id", "fp").join(labels, "id").join(classes, "fp")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    component = classes.select("fp", F.col("doc_id").alias("first")).join(named.join(smallest, "root").select("fp", "component"), "fp", "left")
-    component = component.select("fp", F.coalesce("component", "first").alias("component"))
-    joined = measured.join(component, "fp", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return jaccard_classes(docs, k, threshold, doc_id, text).select("doc_id", "n_shingles", F.col("leader.doc_id").alias("component_id"))

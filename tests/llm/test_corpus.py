@@ -60,6 +60,55 @@ def test_jaccard_chain_and_edges(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_components_with_hot_keys(spark, small_chunks, seed, monkeypatch):
+    """Every key counts as hot: all broadcast and all split paths are taken."""
+    from quarry.llm import jaccard_join as J
+    from quarry.llm import shared
+
+    for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 1000), ("FEW_ROWS", 0)):
+        monkeypatch.setattr(shared, name, value)
+    for name, value in (("GROUP", 4), ("PART", 3)):
+        monkeypatch.setattr(J, name, value)
+    texts = util.corpus(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(util.rows(spark, texts)).collect()}
+    assert got == util.components(texts)
+
+
+def test_jaccard_with_thousands_of_equal_empty_and_common_rows(spark):
+    same, common = "the same text of eight words once more", "one two three four five"
+    data = [(i, same) for i in range(10_000)] + [(i, None if i % 2 else " ") for i in range(10_000, 20_000)]
+    data += [(i, f"{common} {i} a{i} b{i} c{i}") for i in range(20_000, 21_000)]  # a shingle of all, too little to link
+    got = jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).groupBy("component_id").count().collect()
+    by = {r["component_id"]: r["count"] for r in got}
+    assert by.pop(0) == 10_000 and set(by) == set(range(10_000, 21_000)) and set(by.values()) == {1}
+
+
+def test_rows_of_one_id(spark, small_chunks, monkeypatch):
+    """Literal repeats, many texts of one id, many without id."""
+    monkeypatch.setattr(C, "REPEATS", 3)
+    rng = random.Random(5)
+    texts = [util.prose(rng, 60) for _ in range(30)]
+    data = [(7, t) for t in texts] + [(None, t) for t in texts[:10]] + [(8, texts[0])] * 9 + [(9, "a b")] * 9 + [(None, None)] * 9
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    removed = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"] == "") for r in substring_dedup(df).collect())
+    expected = [("7", 60, 0, False)] * 30 + [("8", 60, 60, True)] * 9 + [("9", 2, 0, False)] * 9 + [("None", 0, 0, True)] * 9 + [("None", 60, 60, True)] * 10
+    assert removed == sorted(expected)
+    linked = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_components(df).collect())
+    assert linked == sorted([("7", 56, "7")] * 30 + [("8", 56, "7")] * 9 + [("9", 1, "9")] * 9 + [("None", 0, "None")] * 9 + [("None", 56, "7")] * 10)
+    with pytest.raises(TypeError, match="integers"):
+        jaccard_components(df.withColumn("doc_id", F.lit("x")))
+    with pytest.raises(TypeError, match="integers"):
+        substring_dedup(df.withColumn("doc_id", F.lit("x")))
+
+
+def test_a_word_of_half_a_megabyte(spark):
+    text = "w" * 600_000 + " " + " ".join(f"x{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_components(df).collect()] == [1, 1]
+    assert sorted(r["n_removed"] for r in substring_dedup(df).collect()) == [0, 41]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (102, 100), (200, 200)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -97,8 +146,34 @@ def test_contamination_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, util.prose(rng, 20)) for i in range(20)]
     docs = spark.createDataFrame([(i, f"{util.prose(rng, 50)} {t}") for i, t in items], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i) for i, _ in items}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    live, made = [], []
+    broadcast = spark.sparkContext.broadcast
+
+    def watched(value):
+        b = broadcast(value)
+        made.append(b)
+        live.append(sum(not getattr(x, "_gone", False) for x in made))
+        destroy = b.destroy
+
+        def gone(*a, **k):
+            b._gone = True
+            destroy(*a, **k)
+
+        b.destroy = gone
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    found = contamination(docs, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
+    assert len(made) > 3 and max(live) == 1  # one block at a time
+
+
+def test_contamination_with_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "a one two three"), (None, "one two three b"), ("y", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("i", "One two THREE"), (None, "three b")], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, bench).collect()}
+    assert got == {("x", "i"), (None, "i"), (None, None)}
 
 
 def test_mixing_reaches_targets(spark):

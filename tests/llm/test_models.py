@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, quality, toxicity
@@ -36,6 +37,122 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([b for a, b in pairs if a == 0]) <= 0.03
 
 
+def test_toxic_documents_are_found(spark):
+    """Recall of held-out toxic rows where some hundreds can be learnt from."""
+    from quarry.llm import queries as Q
+
+    sf = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    r = Q.op7_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    found = {x["toxic"]: x["p"] for x in r}
+    assert found[1] >= 0.85 and found[0] <= 0.03
+
+
+def plain_toxicity(text, model, segment):
+    """The score by definition: whole numbers and lists only."""
+    import math
+    import re
+
+    from quarry.llm import text as T
+
+    byte, mul, low = [int(x) for x in T._BYTE], [int(x) for x in T._MUL], (1 << 64) - 1
+    mix = lambda h: int(T.mix(np.array([h & low], np.uint64))[0])
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    scores = []
+    for w in words:
+        marked = b"<" + bytes(b + 32 if 65 <= b <= 90 else b for b in w) + b">"
+        own = int(T.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), True)[0])
+        grams = [own] + [mix(n + sum(byte[c] * mul[j] for j, c in enumerate(marked[i : i + n]))) for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        scores.append(sum(float(model[g >> 47]) for g in grams) / len(grams))
+    step = segment or max(1, len(scores))
+    gaps = [sum(scores[i : i + step]) / len(scores[i : i + step]) for i in range(0, len(scores), step)]
+    return 1 / (1 + math.exp(-(max(gaps, default=0.0) + float(model[-1]))))
+
+
+@pytest.mark.parametrize("segment", [2, 3, None])
+def test_toxicity_scores_by_definition(segment):
+    rng = random.Random(2)
+    texts = [None, "", "!!", "one", "Ünïcödé WORDS mixed Case", *(util.prose(rng, n) for n in (1, 2, 3, 7, 50)), "x" * 30_000 + " y"]
+    model = np.random.default_rng(1).standard_normal(toxicity.BUCKETS + 1).astype(np.float32)
+    got = toxicity.score_texts(pa.array(texts), model, segment)
+    assert np.allclose(got, [plain_toxicity(t, model, segment) for t in texts], atol=1e-5)
+
+
+def plain_features(text):
+    """Counts of words, runs of punctuation, pairs and repeated pairs, by bucket."""
+    import re
+    from collections import Counter
+
+    bucket = lambda t: [int(b) for b in quality.features(pa.array([t]))[1]]
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or "")
+    punct = re.findall(r"[!-/:-@\[-`{-~]+", text or "")
+    out = Counter(bucket(x)[0] for x in words + punct)
+    for a, b in zip(words, words[1:]):
+        out.update(bucket(f"{a} {b}")[2:])  # the pair, and for equal words that they are
+    return out
+
+
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    """Follow the regularised leader, proximal form, coordinate by coordinate."""
+    import math
+
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for d in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[d]}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in rows[d].items())))
+            for i, x in rows[d].items():
+                g = (p - labels[d]) * x
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_model_by_definition(spark):
+    rng = random.Random(3)
+    texts = {i: util.prose(rng, rng.randrange(1, 30), 40 if i % 2 else 60) + (" w1 w1 !!" if i % 2 else " , x.") for i in range(60)}
+    labels = {i: i % 2 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), "quality", F.lit(True))
+    rows = []
+    for t in texts.values():
+        f = plain_features(t)
+        rows.append({i: quality.SCALE * c / sum(f.values()) for i, c in f.items()} | {quality.BUCKETS: 1.0})
+    plain = plain_ftrl(rows, [labels[i] for i in texts], 4, 0.5, 1.0, 0.02, 0.02)
+    assert np.flatnonzero(model).size > 20 and set(np.flatnonzero(model)) <= set(plain)
+    assert all(abs(model[i] - w) < 1e-3 for i, w in plain.items())
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+    for i, f in enumerate(rows):
+        assert abs(got[i] - 1 / (1 + np.exp(-sum(model[b] * x for b, x in f.items())))) < 1e-4
+
+
+def test_rows_learnt_from(spark):
+    """One row an id, however often it stands there and whatever its length; bounded by ids."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "x" * 200_000), (3, None), (None, "n"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (4, None), (9, 1)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, "quality", F.lit(True), 10, "doc_id", "text")
+    assert sorted((r["_id"], r["_label"], len(r["_text"] or "")) for r in rows.collect()) == [(1, 1, 1), (2, 0, 200_000), (3, 1, 0)]
+    assert rows.where("_id = 1").first()["_text"] == "a"
+    assert quality.training_rows(docs, labels, "quality", F.lit(True), 1, "doc_id", "text").count() <= 1
+    assert quality.training_rows(docs, labels, "quality", F.lit(True), 1, "doc_id", "text", balanced=True).count() <= 2
+
+
+def test_models_on_empty_tables_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long + " idiot"), (2, long), (3, "short idiot"), (4, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    w, m = quality.train(docs, labels, "quality", F.lit(True)), toxicity.train(docs, labels, "toxic", F.lit(True))
+    assert quality.scored(docs, w).count() == 4
+    s = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, m).collect()}
+    assert s[1] > s[2] and s[3] > s[4]
+    assert toxicity.scored(docs.limit(0), m).count() == quality.scored(docs.limit(0), w).count() == 0
+
+
 def test_unseen_misspellings(spark):
     rng = random.Random(1)
     clean = [util.prose(rng, 40) for _ in range(150)]
@@ -73,8 +190,9 @@ def brute(vectors, k=5):
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "STRIPE", 60)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "STRIPE_BYTES", 60 * 12 * 8)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 4 * 12 * 8)
+    monkeypatch.setattr(ann, "QUERY_TILE", 2)
     monkeypatch.setattr(ann, "TILE", 16)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.standard_normal(12).astype(np.float32).tolist()) for i in range(300)]
@@ -86,7 +204,7 @@ def test_nearest(spark, monkeypatch):
 
 
 def test_repeated_query_rows(spark, monkeypatch):
-    monkeypatch.setattr(ann, "STRIPE", 30)
+    monkeypatch.setattr(ann, "STRIPE_BYTES", 30 * 12 * 8)
     rng = np.random.default_rng(6)
     vectors = [(i, rng.standard_normal(12).astype(np.float32).tolist()) for i in range(120)]
     other = rng.standard_normal(12).astype(np.float32).tolist()
@@ -99,6 +217,22 @@ def test_repeated_query_rows(spark, monkeypatch):
     assert nearest([*vectors, (50, other)]) == sorted([*once, *moved])
 
 
+def test_a_vector_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TILE", 32)
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal(8).astype(np.float32)
+    vectors = [(i, (one if i % 3 == 0 else one + 1e-4 * rng.standard_normal(8).astype(np.float32) if i % 3 == 1 else rng.standard_normal(8).astype(np.float32)).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()} == brute(vectors)
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(twice, F.col("vec_id") == 50).orderBy("rank").collect()] == [1, 1, 2]
+
+
+def test_contenders():
+    ids, v = np.array([5, 1, 1, 1, 9, 7, 3, 2]), np.array([[0.0], [0], [0], [0], [1], [0], [0], [0]])
+    assert ann.contenders(ids, v, 2).tolist() == [1, 2, 4, 6, 7]
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(5)
     x, y = rng.standard_normal((40, 33)), rng.standard_normal((50, 33)) * 100
