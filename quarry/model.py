@@ -49,6 +49,9 @@ class Field:
     min_length: int | None = None
     max_length: int | None = None
     pattern: str | None = None
+    default: object = None  # for a field that a new record lacks; "now" for dates and times
+    formula: str | None = None
+    template: str | None = None  # of a seq_no: text with {seq[:N]}, {year}, {month}, {day}
 
     @property
     def virtual(self) -> bool:

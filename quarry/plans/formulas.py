@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import formula as fm
+from ..functions import formula_text as ft
+from ..functions.keys import record_key
+from ..model import Field, ObjectDef
 from ..sources import frames as fr
 from ..sources.storage import table
 from .registry import query
@@ -70,19 +73,36 @@ def formula_ref(spark, d):
 
 
 def _child(name: str, column, sql: str):
-    """A child aggregate is one pre-aggregated left join; every third order's lines count as absent."""
+    """A child aggregate is one pre-aggregated left join."""
 
     def run(spark, d):
-        lines = table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").withColumn("q", F.when(F.col("l_linenumber") != 2, F.col("l_quantity")))
+        lines = table(spark, d, "lineitem").withColumn("q", F.when(F.col("l_linenumber") != 2, F.col("l_quantity")))
         per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*column())
         out = table(spark, d, "orders").select("o_orderkey").join(per, "o_orderkey", "left")
         return out.withColumn("x", F.coalesce("x", F.lit(0))) if name == "formula_count" else out
 
     run.__name__ = name
-    query(f"WITH l AS (SELECT *, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS q FROM lineitem WHERE l_orderkey % 3 <> 0), g AS (SELECT l_orderkey, {sql} FROM l GROUP BY l_orderkey) SELECT o_orderkey, {'coalesce(x, 0) AS x' if name == 'formula_count' else 'g.* EXCLUDE (l_orderkey)'} FROM orders LEFT JOIN g ON o_orderkey = l_orderkey")(run)
+    query(f"WITH l AS (SELECT *, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS q FROM lineitem), g AS (SELECT l_orderkey, {sql} FROM l GROUP BY l_orderkey) SELECT o_orderkey, {'coalesce(x, 0) AS x' if name == 'formula_count' else 'g.* EXCLUDE (l_orderkey)'} FROM orders LEFT JOIN g ON o_orderkey = l_orderkey")(run)
 
 
 _child("formula_count", lambda: [F.count(F.lit(1)).alias("x")], "count(*) AS x")
 _child("formula_sum", lambda: [fm.child_sum(F.col("q")).alias("x")], "coalesce(sum(q), 0) AS x")
 _child("formula_avg", lambda: [fm.round_up(F.avg("q"), 6).alias("x")], "floor(avg(q) * 1000000.0 + 0.5) / 1000000.0 AS x")
 _child("formula_minmax", lambda: [F.min("q").alias("x"), F.max("q").alias("y")], "min(q) AS x, max(q) AS y")
+
+
+FORMULAS = ObjectDef("orders", (
+    Field("o_orderkey", "bigint", primary=True), Field("o_custkey", "relation", target="customer"), Field("o_orderstatus"), Field("o_totalprice", "double"), Field("lines", "details", target="lineitem"),
+    Field("net", "double", formula="ROUND(o_totalprice / 1.19, 2)"), Field("grade", formula="IF(net > 100000 and not (o_orderstatus == 'F'), 'big', 'small') & '-' & o_orderstatus"),
+    Field("who", formula="UPPER(o_custkey.c_name)"), Field("parts", "integer", formula="COUNT(lines)"), Field("each", "double", formula="net / parts"),
+))
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS parts FROM lineitem GROUP BY 1), o AS (SELECT *, floor((o_totalprice / 1.19::DOUBLE) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS net FROM orders)
+SELECT o_orderkey, net, CASE WHEN net > 100000 AND o_orderstatus <> 'F' THEN 'big' ELSE 'small' END || '-' || o_orderstatus AS grade, upper(c_name) AS who, coalesce(parts, 0)::BIGINT AS parts, net / nullif(coalesce(parts, 0), 0) AS each
+FROM o LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON l_orderkey = o_orderkey""")
+def formula_text(spark, d):
+    """Formulas as definitions write them, checked and put in order."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    out = ft.computed(o, FORMULAS, ft.validate(spark, FORMULAS), datetime(2024, 1, 2), {"o_custkey": (table(spark, d, "customer"), "c_custkey")}, {"lines": (fr.order_lines(spark, d), record_key(o, "o_orderkey"))})
+    return out.select("o_orderkey", "net", "grade", "who", "parts", "each")
