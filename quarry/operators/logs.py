@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import ModelError
+from .state import numbered
+
 AUDIT_COLUMNS = ("actor_type", "actor_id", "action", "object", "object_id", "is_error", "error_code", "scope_id", "ts")
 BROADCASTS = ("schema.changed", "schema.drift", "lifecycle")
 
@@ -79,10 +82,33 @@ def latest_state(log: DataFrame, key: str, after: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(after, F.struct("ts", "id")).alias("state"))
 
 
-def numbered(batch: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
-    """A batch with consecutive numbers in order: rows are ranged by the order, counted by range, and numbered within it."""
-    ranged = batch.withColumn("_day", F.date_trunc("hour", order[0]))
-    counts = ranged.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_day").orderBy(*order))
-    return ranged.join(before.drop("_n"), "_day").withColumn(name, (F.col("_before") + within + base).cast("long")).drop("_day", "_before")
+def appended(batch: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
+    """A batch of new log rows with consecutive numbers in order, going on from ``base``."""
+    return numbered(batch, F.lit(0), [F.col(c) for c in order], name, base)
+
+
+def evidence(calls: DataFrame, stage: str, outcome: Column) -> DataFrame:
+    """(id, stage): a piece of evidence of each call (id, ...) as canonical JSON."""
+    return calls.select("id", F.to_json(F.struct(F.lit(stage).alias("stage"), outcome.alias("outcome"))).alias("stage"))
+
+
+def expired(requests: DataFrame, now: Column) -> Column:
+    """The status a request (status, expires_at) has now: pending ones past their time are expired."""
+    return F.when((F.col("status") == "pending") & (F.col("expires_at") <= now), "expired").otherwise(F.col("status"))
+
+
+def approvals(queue: DataFrame, status: str | None = None, action: str | None = None, key: str | None = None, search: str | None = None, since=None, expires_before=None, by: str = "ts", descending: bool = True) -> DataFrame:
+    """Requests by any of: status, action, key, a text within action or requester, first time, time they run out by; sorted by one whitelisted column."""
+    if by not in ("ts", "status", "action", "expires_at") or by not in queue.columns:
+        raise ModelError("approval.sort", by)
+    for name, value in (("status", status), ("action", action), ("key", key)):
+        if value is not None:
+            queue = queue.where(F.col(name) == value)
+    if search is not None:
+        queue = queue.where(F.col("action").ilike(f"%{search}%") | F.col("requested_by").ilike(f"%{search}%"))
+    if since is not None:
+        queue = queue.where(F.col("ts") >= since)
+    if expires_before is not None:
+        queue = queue.where(F.col("expires_at") < expires_before)
+    c = F.col(by)
+    return queue.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as st
+from ..operators import workflow as wf
 from ..sources.storage import table
 from .registry import query
 
@@ -30,6 +31,56 @@ def quota_monthly(spark, d):
     return st.quota(uses, "month", 8)
 
 
+@query("""WITH RECURSIVE h AS (SELECT 't' || (user_id % 3) || ':' || user_id AS key, strftime(date_trunc('month', ts), '%Y-%m-%d') AS p, event_id AS id, event_id % 5 AS a, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) AS k FROM events),
+f(key, p, k, id, allowed, value) AS (
+  SELECT key, p, k, id, true, a FROM h WHERE k = 1
+  UNION ALL SELECT h.key, h.p, h.k, h.id, a <= 0 OR value + a <= 12, CASE WHEN value + a <= 12 THEN value + a ELSE value END FROM f JOIN h ON h.key = f.key AND h.p = f.p AND h.k = f.k + 1)
+SELECT key, id, p AS period_start, allowed, value::DOUBLE AS value, (12 - value)::DOUBLE AS remaining FROM f""")
+def quota_amounts(spark, d):
+    e = table(spark, d, "events")
+    key = st.scoped_key(F.col("user_id"), F.concat(F.lit("t"), F.col("user_id") % 3))
+    return st.consumed(e.select(key.alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 5).alias("amount")), "month", 12)
+
+
+NODES = (wf.Node("review", ("a", "b")), wf.Node("told", ("z",), "notify"), wf.Node("sign", ("c", "d"), mode="all", on_reject="review"))
+#: remainder of the event's id by 16 -> (action, actor, argument)
+ACTIONS = [("submit", "o", None)] * 2 + [("approve", "a", None)] * 2 + [("approve", "b", None)] + [("approve", "c", None)] * 2 + [
+    ("approve", "d", None), ("reject", "c", None), ("withdraw", "o", None), ("forward", "c", "e"), ("approve", "e", None), ("cancel", "o", None), ("reactivate", "r", "sign"), ("jump", "r", "review"), ("terminate", "r", "finished"),
+]
+
+
+@query(f"""WITH RECURSIVE acts(m, a, u) AS (VALUES {", ".join(f"({i}, '{a}', '{u}')" for i, (a, u, _) in enumerate(ACTIONS))}),
+w AS (SELECT user_id AS key, a, u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events JOIN acts ON event_id % 16 = m),
+j AS (SELECT key, k, a, u FROM w),
+f(key, k, s) AS (
+  SELECT DISTINCT key, 0::BIGINT, {{'st': 'draft', 'node': NULL::VARCHAR, 'w': []::VARCHAR[], 't': 0, 'og': NULL::VARCHAR, 'ap': NULL::VARCHAR, 'ok': 0::BIGINT, 'no': 0::BIGINT}} FROM w
+  UNION ALL SELECT j.key, j.k, CASE
+    WHEN a = 'submit' AND NOT (s.st = 'running' AND s.node <> '') THEN {{'st': 'running', 'node': 'review', 'w': ['a', 'b'], 't': s.t, 'og': coalesce(s.og, u), 'ap': NULL, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN a = 'terminate' AND s.og IS NOT NULL THEN {{'st': 'finished', 'node': NULL, 'w': [], 't': s.t, 'og': s.og, 'ap': 'approved', 'ok': s.ok + 1, 'no': s.no}}
+    WHEN a = 'jump' AND s.og IS NOT NULL THEN {{'st': 'running', 'node': 'review', 'w': ['a', 'b'], 't': s.t, 'og': s.og, 'ap': NULL, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN a = 'reactivate' AND s.og IS NOT NULL AND s.st <> 'running' THEN {{'st': 'running', 'node': 'sign', 'w': ['c', 'd'], 't': s.t, 'og': s.og, 'ap': NULL, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN s.st <> 'running' OR a IN ('submit', 'terminate', 'jump', 'reactivate') THEN {{'st': s.st, 'node': s.node, 'w': s.w, 't': s.t, 'og': s.og, 'ap': s.ap, 'ok': s.ok, 'no': s.no + 1}}
+    WHEN a = 'withdraw' THEN {{'st': 'running', 'node': '', 'w': [], 't': s.t, 'og': s.og, 'ap': s.ap, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN a = 'cancel' THEN {{'st': 'canceled', 'node': NULL, 'w': [], 't': s.t, 'og': s.og, 'ap': 'rejected', 'ok': s.ok + 1, 'no': s.no}}
+    WHEN NOT list_contains(s.w, u) THEN {{'st': s.st, 'node': s.node, 'w': s.w, 't': s.t, 'og': s.og, 'ap': s.ap, 'ok': s.ok, 'no': s.no + 1}}
+    WHEN a = 'forward' THEN {{'st': 'running', 'node': s.node, 'w': list_transform(s.w, lambda x: CASE WHEN x = u THEN 'e' ELSE x END), 't': s.t, 'og': s.og, 'ap': s.ap, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN a = 'reject' THEN {{'st': 'running', 'node': 'review', 'w': ['a', 'b'], 't': s.t, 'og': s.og, 'ap': NULL, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN s.node = 'review' THEN {{'st': 'running', 'node': 'sign', 'w': ['c', 'd'], 't': s.t + 1, 'og': s.og, 'ap': NULL, 'ok': s.ok + 1, 'no': s.no}}
+    WHEN len(s.w) > 1 THEN {{'st': 'running', 'node': 'sign', 'w': list_filter(s.w, lambda x: x <> u), 't': s.t, 'og': s.og, 'ap': s.ap, 'ok': s.ok + 1, 'no': s.no}}
+    ELSE {{'st': 'finished', 'node': NULL, 'w': [], 't': s.t, 'og': s.og, 'ap': 'approved', 'ok': s.ok + 1, 'no': s.no}} END
+  FROM f JOIN j ON j.key = f.key AND j.k = f.k + 1)
+SELECT key, s.st AS state, s.node AS node, array_to_string(s.w, ',') AS waiting, s.t AS n_told, s.og AS originator, s.ap AS approval, s.ok AS accepted, s.no AS refused FROM (SELECT key, arg_max(s, k) AS s FROM f GROUP BY key)""")
+def workflow_runs(spark, d):
+    """All actions: quorums, notified nodes, forwards, rejections to a node, withdrawals, reactivation and an administrator's jumps and ends."""
+    e = table(spark, d, "events")
+    at = (F.col("event_id") % len(ACTIONS) + 1).cast("int")
+    part = lambda i: F.element_at(F.array(*(F.lit(a[i]) for a in ACTIONS)), at)
+    log = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), part(0).alias("action"), part(1).alias("actor"), part(2).alias("arg"), (part(1) == "r").alias("admin"))
+    found = wf.runs(log, (wf.Version(NODES, "v1"),))
+    n_told = F.when(F.col("told") == "", 0).otherwise(F.size(F.split("told", ",")))
+    return found.select("key", "state", "node", "waiting", n_told.alias("n_told"), "originator", "approval", "accepted", "refused")
+
+
 @query("""WITH w AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'cancel' ELSE 'reactivate' END AS a FROM events)
 SELECT key, s.status, s.node, s.n AS accepted FROM (
 WITH RECURSIVE f(key, k, s) AS (
@@ -64,22 +115,21 @@ def locks_active(spark, d):
 
 @query("SELECT user_id AS assignee, event_id AS id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-25'")
 def workflow_todos(spark, d):
-    return table(spark, d, "events").where("event_type = 'view' and ts >= timestamp_ntz '2024-01-25'").select(F.col("user_id").alias("assignee"), F.col("event_id").alias("id"))
+    items = table(spark, d, "events").select(F.col("user_id").alias("participant"), F.col("event_id").alias("id"), F.when((F.col("event_type") == "view") & (F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")), "active").otherwise("done").alias("state"))
+    return st.todos(items)
 
 
-@query("SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS ordinal, event_type AS step FROM events WHERE user_id < 20 ORDER BY record, ordinal")
+@query("SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS ordinal, event_type AS step FROM events")
 def workflow_history(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").where("user_id < 20").select(F.col("user_id").alias("record"), n.alias("ordinal"), F.col("event_type").alias("step")).orderBy("record", "ordinal")
+    steps = table(spark, d, "events").select(F.col("user_id").alias("record"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("step"))
+    return st.history(steps).select("record", "ordinal", "step")
 
 
 @query("SELECT sha256('{\"nodes\":[{\"mode\":\"any\",\"name\":\"review\"},{\"mode\":\"all\",\"name\":\"sign\"}]}') AS hash")
 def workflow_hash(spark, d):
     from ..operators.tooling import canonical_json
 
-    definition = {"nodes": [{"name": "review", "mode": "any"}, {"name": "sign", "mode": "all"}]}
+    definition = {"nodes": [{"name": "review", "mode": "any"}, {"name": "sign", "mode": "all"}]}  # whatever the order of keys
     return spark.createDataFrame([(canonical_json(definition),)], "text string").select(F.sha2("text", 256).alias("hash"))
 
 

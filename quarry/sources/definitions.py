@@ -1,16 +1,23 @@
-"""Object definitions from JSON files: ``<folder>/<object>/schema.json``."""
+"""Object definitions from JSON files: ``<folder>/<object>/schema.json``, and ``workflow.json`` beside it."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.formula_text import validate_all
 from ..functions.types import TYPES
 from ..model import SPARK_TYPES, Field, ModelError, ObjectDef, Permission
+from ..operators.tooling import canonical_json
+from ..operators.workflow import Node, Version
+
+MAX_ASSIGNEES = 1000
 
 #: JSON attribute -> field attribute, where the names differ
-_NAMES = {"minLength": "min_length", "maxLength": "max_length", "object": "target"}
+_NAMES = {"minLength": "min_length", "maxLength": "max_length", "object": "target", "format": "template"}
 _FLAGS = ("primary", "required", "multiple", "scope", "sensitive")
 
 
@@ -44,6 +51,44 @@ def parse_object(text: str) -> ObjectDef:
         raise ModelError("object.definition.invalid", str(e)) from None
 
 
+def parse_workflow(text: str, users: DataFrame) -> tuple[Node, ...]:
+    """The nodes of ``{"nodes": [{"id", "kind", "assign": {"roles", "mode"}, "onReject", "onWithdraw", "onTimeout": {"after", "action"}}]}``.
+
+    Roles become the ids of enabled users (id, roles, enabled) who have one; a node with more than MAX_ASSIGNEES is refused.
+    """
+    try:
+        nodes = json.loads(text)["nodes"]
+        ids = [n["id"] for n in nodes]
+        wanted = sorted({r for n in nodes for r in n["assign"].get("roles", ())})
+    except (json.JSONDecodeError, KeyError, TypeError, AttributeError) as e:
+        raise ModelError("workflow.definition.invalid", str(e)) from None
+    if len(set(ids)) < len(ids) or any(n.get("kind", "approve") not in ("approve", "notify") or n["assign"].get("mode", "any") not in ("any", "all") for n in nodes):
+        raise ModelError("workflow.definition.invalid", "node")
+    for n in nodes:
+        for target in (n.get("onReject"), n.get("onWithdraw")):
+            if target is not None and target not in ids:
+                raise ModelError("workflow.node.unknown", target)
+    who: dict[str, list[str]] = {}
+    if wanted:
+        found = users.where(F.coalesce("enabled", F.lit(True))).select(F.explode("roles").alias("role"), F.col("id").cast("string").alias("id")).where(F.col("role").isin(wanted)).distinct()
+        rows = found.limit(MAX_ASSIGNEES * len(wanted) + 1).collect()
+        if len(rows) > MAX_ASSIGNEES * len(wanted):
+            raise ModelError("workflow.assignee.many", ", ".join(wanted))
+        for role, user in sorted(map(tuple, rows)):
+            who.setdefault(role, []).append(user)
+    return tuple(
+        Node(n["id"], tuple(dict.fromkeys(u for r in n["assign"].get("roles", ()) for u in who.get(r, ()))), n.get("kind", "approve"), n["assign"].get("mode", "any"), n.get("onReject"), n.get("onWithdraw"),
+             (n.get("onTimeout") or {}).get("after"), (n.get("onTimeout") or {}).get("action", "approve"))
+        for n in nodes
+    )
+
+
+def load_workflows(spark: SparkSession, folder: str, users: DataFrame) -> dict[str, Version]:
+    """Object -> the definition in its ``workflow.json``, under the hash of its content, where it has one."""
+    files = spark.read.text(f"{folder.rstrip('/')}/*/workflow*.json", wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("name")).collect()
+    return {name: Version(parse_workflow(text, users), hashlib.sha256(canonical_json(json.loads(text)).encode()).hexdigest()) for text, name in files}
+
+
 def load_objects(spark: SparkSession, folder: str) -> dict[str, ObjectDef]:
     """Every definition below ``folder``, from any store that Spark reads; a name may occur once."""
     out: dict[str, ObjectDef] = {}
@@ -56,4 +101,5 @@ def load_objects(spark: SparkSession, folder: str) -> dict[str, ObjectDef]:
         for f in o.fields:
             if f.target and f.target not in out:
                 raise ModelError("object.relation.target", f"{o.name}.{f.name}: {f.target}")
+    validate_all(spark, list(out.values()))
     return out
