@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,6 @@ from ..model import ModelError, ObjectDef, Permission, Subject
 from .closure import subtree
 
 _RANK = {None: 0, "own": 1, "department": 2, "all": 3}
-#: a directory of at most so many rows is broadcast
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Directory:
@@ -55,14 +53,10 @@ def child_permission(child: Permission | None, parent: Permission | None) -> Per
                       child.update, child.create_fields, tuple(dict.fromkeys(child.exclude + parent.exclude)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df as a broadcast side if it is small enough, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _members(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among ``keys`` (one column)."""
-    return df.join(_small(keys.select(F.col(keys.columns[0]).alias("_key")).distinct()), F.col(column).cast("string") == F.col("_key").cast("string"), "left_semi")
+    """Rows whose ``column`` is among ``keys`` (one column), which takes the column's type, so that filters and buckets of ``df`` stay usable; Spark picks the join by the sizes it finds."""
+    key = F.col(keys.columns[0]).try_cast(df.schema[column].dataType).alias(column)
+    return df.join(keys.select(key).distinct(), column, "left_semi").select(*df.columns)
 
 
 def department_ids(directory: Directory, department: str) -> DataFrame:
@@ -118,6 +112,31 @@ def manageable(df: DataFrame, obj: ObjectDef, subject: Subject, directory: Direc
     return scoped(df, obj, subject, p.manage or p.read, directory)
 
 
+def by_role(df: DataFrame, obj: ObjectDef, subject: Subject, directory: Directory | None = None, manage: bool = False) -> DataFrame:
+    """The rows that any role of the subject alone would give, by its own predicate: of reads, the union of read and manage scopes; of changes, the manage scopes.
+
+    Nothing declared means one open scope; a subject whose roles give nothing sees nothing.
+    """
+    if subject.system or obj.permissions is None:
+        return scoped(df, obj, subject, "all", directory)
+    found = [obj.permissions[r] for r in subject.roles if r in obj.permissions]
+    scopes = {s for p in found for s in ((p.manage,) if manage else (p.read, p.manage)) if s}
+    if "all" in scopes or len(scopes) < 2:
+        return scoped(df, obj, subject, "all" if "all" in scopes else next(iter(scopes), None), directory)
+    keys = [scoped(df, obj, subject, s, directory).select(*obj.keys) for s in sorted(scopes)]
+    return df.join(reduce(DataFrame.unionByName, keys).distinct(), obj.keys, "left_semi").select(*df.columns)
+
+
+def check_changes(obj: ObjectDef, subject: Subject, names: list[str]) -> None:
+    """Refuses an update of a key, or of the tenant column by a subject that is bound to a tenant."""
+    for n in names:
+        if n in obj.keys:
+            raise ModelError("object.primary.mutable", f"{obj.name}.{n}")
+    tenant = obj.marked("scope")
+    if tenant and subject.scope is not None and not subject.system and tenant.name in names:
+        raise ModelError("object.scope.immutable", f"{obj.name}.{tenant.name}")
+
+
 def children_of(children: DataFrame, parents: DataFrame, parent_keys: list[str]) -> DataFrame:
     """Details rows whose parent is among ``parents``."""
     keys = parents.select(record_key(parents, *parent_keys).alias("parent_id"))

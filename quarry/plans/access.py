@@ -133,3 +133,13 @@ def capabilities(spark, d):
         p = sc.resolve(o, who)
         rows += [(o.name, tool) for tool, ok in (("find", p and p.read), ("create", p and p.create), ("delete", p and p.delete)) if ok]
     return spark.createDataFrame(rows, "object string, tool string")
+
+
+@query("SELECT o_orderkey, o_custkey = 10 AS managed FROM orders WHERE o_custkey = 10 OR o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)")
+def scope_roles(spark, d):
+    """Each role by its own predicate: read and manage scopes together for reads, manage scopes for changes."""
+    who = ob.Subject(ob.OWNER, ("sales", "region"), department="r1")
+    o = table(spark, d, "orders")
+    read = sc.by_role(o, ob.PLAIN_ORDERS, who, directory(spark, d)).select("o_orderkey")
+    managed = sc.by_role(o, ob.PLAIN_ORDERS, who, directory(spark, d), manage=True).select("o_orderkey", F.lit(True).alias("managed"))
+    return read.join(managed, "o_orderkey", "left").select("o_orderkey", F.coalesce("managed", F.lit(False)).alias("managed"))
