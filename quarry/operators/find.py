@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import decode_cursor, decode_key, record_key
 from ..model import META_FIELDS, PREFIX, ModelError, ObjectDef
+from .links import LINK_OPERATORS, Links, link_marks, linked_to
 
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "contains", "like")
 DEFAULT_LIMIT, MAX_ROWS, MAX_FILTERS, MAX_SORTS = 100, 1000, 50, 8
@@ -70,16 +71,19 @@ def _one(obj: ObjectDef, name: str, op: str, value) -> Column | None:
     return {"eq": c == value, "ne": c != value, "gt": c > value, "gte": c >= value, "lt": c < value, "lte": c <= value}[op]
 
 
-def condition(obj: ObjectDef, filter: dict) -> Column | None:
-    """The filter as one Column, or None if nothing restricts."""
+def condition(obj: ObjectDef, filter: dict, marks: dict | None = None) -> Column | None:
+    """The filter as one Column, or None if nothing restricts. ``marks``: the columns that stand for multiRelation conditions, by field, operator and values."""
     parts = []
     for name, value in filter.items():
         if name == "$or":
-            groups = [g for g in (condition(obj, x) for x in value) if g is not None]
+            groups = [g for g in (condition(obj, x, marks) for x in value) if g is not None]
             if groups:
                 parts.insert(0, reduce(lambda a, b: a | b, groups))
             continue
         _check_field(obj, name)
+        if (f := obj.get(name)) is not None and f.type == "multiRelation":
+            parts += [F.col(marks[x]) for x in link_conditions(name, value) if marks and x in marks]
+            continue
         ops = value if is_operators(value) else {"eq": value}
         columns = [_one(obj, name, op, v) for op, v in ops.items()]
         if all(c is not None for c in columns):
@@ -87,6 +91,36 @@ def condition(obj: ObjectDef, filter: dict) -> Column | None:
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
+def link_conditions(name: str, value) -> list[tuple]:
+    """(field, operator, values) of a multiRelation filter; operators it does not know are dropped."""
+    ops = value if is_operators(value) else {"eq": value}
+    return [(name, op, tuple(v) if isinstance(v, (list, tuple)) else (v,)) for op, v in ops.items() if op in LINK_OPERATORS]
+
+
+def parse_sort(text: str) -> list[tuple[str, str]]:
+    """``a:desc,b`` as sort keys; ascending where nothing is said."""
+    out = []
+    for part in filter(None, map(str.strip, text.split(","))):
+        name, colon, direction = (x.strip() for x in part.partition(":"))
+        if colon and (not name or direction not in ("asc", "desc")):
+            raise ModelError("api.param.invalid", f"sort: {part}")
+        out.append((name, direction or "asc"))
+    return out
+
+
+def check_depth(tree: dict, limit: int = 10, max_weight: int = 10_000) -> int:
+    """The weight of a nested read ``{field: {"limit": n, "expand": {...}}}``: rows it may make of one; refused beyond ``limit`` levels or ``max_weight``."""
+
+    def weigh(level: dict, depth: int) -> int:
+        if level and depth > limit:
+            raise ModelError("data.expand.depth", str(limit))
+        return sum((x.get("limit") or DEFAULT_LIMIT) * (1 + weigh(x.get("expand") or {}, depth + 1)) for x in level.values())
+
+    if (weight := weigh(tree, 1)) > max_weight:
+        raise ModelError("data.expand.weight", str(weight))
+    return weight
+
+
 def names_used(find: Find) -> set[str]:
     def walk(f: dict) -> set[str]:
         return {n for k, v in f.items() for n in (set().union(*map(walk, v)) if k == "$or" and v else {k})}
@@ -116,12 +150,33 @@ def order(sort: list[tuple[str, str]]) -> list[Column]:
     return [F.col(n).desc_nulls_first() if d == "desc" else F.col(n).asc_nulls_last() for n, d in sort]
 
 
-def filtered(df: DataFrame, obj: ObjectDef, filter: dict) -> DataFrame:
-    where = condition(obj, filter)
-    return df if where is None else df.where(where)
-
-
-def find(df: DataFrame, obj: ObjectDef, options: Find, meta: DataFrame | None = None, strict: bool = True) -> DataFrame:
+def filtered(df: DataFrame, obj: ObjectDef, filter: dict, links: dict[str, Links] | None = None) -> DataFrame:
+    """The rows a filter keeps. ``links``: the link rows of each multiRelation field that it names."""
+    links, columns = links or {}, df.columns
+
+    def linked(f: dict) -> list[tuple]:
+        found = []
+        for name, value in f.items():
+            if name == "$or":
+                found += [x for g in value for x in linked(g)]
+            elif (field := obj.get(name)) is not None and field.type == "multiRelation":
+                if name not in links:
+                    raise ModelError("data.field.links", name)
+                found += link_conditions(name, value)
+        return found
+
+    top = linked({k: v for k, v in filter.items() if k != "$or"})
+    for name, op, values in top:
+        df = linked_to(df, links[name].rows, obj.keys[0], links[name].owner, links[name].target, op, list(values))
+    marks = {x: f"_link{i}" for i, x in enumerate(dict.fromkeys(linked({"$or": filter.get("$or") or []})))}
+    for (name, op, values), mark in marks.items():
+        df = link_marks(df, links[name], obj.keys[0], mark, op, list(values))
+    plain = {k: v for k, v in filter.items() if k == "$or" or (f := obj.get(k)) is None or f.type != "multiRelation"}
+    where = condition(obj, plain, marks)
+    return (df if where is None else df.where(where)).select(*columns) if marks or top else df if where is None else df.where(where)
+
+
+def find(df: DataFrame, obj: ObjectDef, options: Find, meta: DataFrame | None = None, strict: bool = True, links: dict[str, Links] | None = None) -> DataFrame:
     """One page. ``strict``: hidden fields cannot be filtered or sorted on either."""
     check_budget(options)
     used = names_used(options)
@@ -129,7 +184,7 @@ def find(df: DataFrame, obj: ObjectDef, options: Find, meta: DataFrame | None =
         _check_field(obj, n)
     if strict and (hidden := ({n for n, _ in options.sort} | names_used(Find(options.filter))) & set(options.exclude)):
         raise ModelError("data.field.denied", ", ".join(sorted(hidden)))
-    df = filtered(with_virtual(df, obj, meta, used), obj, options.filter)
+    df = filtered(with_virtual(df, obj, meta, used), obj, options.filter, links)
     columns = projection(obj, options.fields, options.exclude)
     limit, sort = max(0, min(options.limit, MAX_ROWS)), options.sort
     if options.cursor is not None and len(obj.keys) == 1:

@@ -50,10 +50,10 @@ def filter_parent(spark, d):
     return fd.filtered(fr.order_lines(spark, d), LINE, {"$or": [{"parent_id": "2:33"}, {"parent_idx": {"gt": 6}}]}).select("l_orderkey", "l_partkey", "parent_idx")
 
 
-def _links(name: str, op: str, values: list, sql: str):
+def _links(name: str, op: str, values: list, sql: str, filter: dict | None = None):
     def run(spark, d):
-        out = lk.linked_to(table(spark, d, "orders"), fr.order_parts(spark, d), "o_orderkey", "owner_o_orderkey", "target_p_partkey", op, values)
-        return out.select("o_orderkey")
+        links = {"part_ids": lk.Links(fr.order_parts(spark, d), "owner_o_orderkey", "target_p_partkey")}
+        return fd.filtered(table(spark, d, "orders"), ORDERS, filter or {"part_ids": {op: values}}, links).select("o_orderkey")
 
     run.__name__ = name
     query(fr.with_frames("lines links", f"SELECT o_orderkey FROM orders WHERE {sql}"))(run)
@@ -61,6 +61,8 @@ def _links(name: str, op: str, values: list, sql: str):
 
 _mine = "SELECT DISTINCT target_p_partkey FROM links WHERE owner_o_orderkey = o_orderkey"
 _links("multirel_contains", "contains", [51, 60], f"(SELECT count(*) FROM ({_mine} AND target_p_partkey IN (51, 60))) = 2")
+_links("multirel_or", "", [], f"o_custkey < 30 AND (o_orderstatus = 'P' OR o_orderkey IN (SELECT owner_o_orderkey FROM links WHERE target_p_partkey IN (1, 2, 3)) OR (o_totalprice > 300000 AND NOT ((SELECT count(*) FROM ({_mine})) = 1 AND (SELECT count(*) FROM ({_mine} AND target_p_partkey = 50)) = 1)))",
+       {"o_custkey": {"lt": 30}, "$or": [{"o_orderstatus": "P"}, {"part_ids": {"in": [1, 2, 3]}}, {"o_totalprice": {"gt": 300000}, "part_ids": {"ne": [50], "like": "x"}}]})
 _links("multirel_in", "in", [1, 2, 3], "o_orderkey IN (SELECT owner_o_orderkey FROM links WHERE target_p_partkey IN (1, 2, 3))")
 _links("multirel_eq", "eq", [50], f"(SELECT count(*) FROM ({_mine})) = 1 AND (SELECT count(*) FROM ({_mine} AND target_p_partkey = 50)) = 1")
 _links("multirel_ne", "ne", [50], f"NOT ((SELECT count(*) FROM ({_mine})) = 1 AND (SELECT count(*) FROM ({_mine} AND target_p_partkey = 50)) = 1)")
