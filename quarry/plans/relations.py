@@ -9,6 +9,7 @@ from ..operators import links as lk
 from ..operators import scope as sc
 from ..operators import write as wr
 from ..sources import frames as fr
+from ..sources import identity
 from ..sources.storage import table
 from . import objects as ob
 from .registry import query
@@ -59,6 +60,6 @@ def workflow_visible(spark, d):
 @query("SELECT n_nationkey AS ext_id, 'n' || n_nationkey AS id, 'r' || r_regionkey AS parent FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 4")
 def identity_link(spark, d):
     """External parents resolved to internal ids; an unknown parent is null."""
-    parents = table(spark, d, "region").where("r_regionkey < 4").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("r"), "r_regionkey").alias("parent"))
-    n = table(spark, d, "nation").join(parents, "n_regionkey", "left")
-    return n.select(F.col("n_nationkey").alias("ext_id"), F.concat(F.lit("n"), "n_nationkey").alias("id"), "parent")
+    known = table(spark, d, "region").where("r_regionkey < 4").select(F.col("r_regionkey").cast("string").alias("external_id"), F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("ext_id"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("parent"))
+    return identity.resolved(rows, known, "parent")

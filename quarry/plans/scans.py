@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import record_key
 from ..operators import find as fd
+from ..operators import hooks as hk
 from ..operators import links as lk
+from ..operators import write as wr
 from ..sources import frames as fr
 from ..sources import identity
 from ..sources.storage import table
@@ -28,11 +30,11 @@ def find_one_by_key(spark, d):
 
 @query(fr.with_frames("meta", "SELECT record_key, status FROM meta WHERE record_key IN ('1:3', '1:6', '1:9', '2:12', '1:5')"))
 def record_meta_lookup(spark, d):
-    return fr.meta_orders(spark, d).where(F.col("record_key").isin("1:3", "1:6", "1:9", "2:12", "1:5")).select("record_key", "status")
+    return wr.meta_of(fr.meta_orders(spark, d), ["1:3", "1:6", "1:9", "2:12", "1:5"]).select("record_key", "status")
 
 
 @query("""SELECT c_custkey::VARCHAR AS id, c_name AS name, array_to_string(list_filter(list_transform(string_split(lower(c_mktsegment) || ', ,' || CASE WHEN c_acctbal > 5000 THEN 'manager' ELSE '' END, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS roles,
-CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE c_custkey % 5 IN (0, 2) END AS enabled FROM customer""")
+CASE WHEN c_custkey % 5 IN (1, 4) THEN NULL ELSE c_custkey % 5 IN (0, 2) END AS enabled FROM customer""")
 def identity_source_map(spark, d):
     c = table(spark, d, "customer").withColumns({
         "groups": F.concat(F.lower("c_mktsegment"), F.lit(", ,"), F.when(F.col("c_acctbal") > 5000, "manager").otherwise("")),
@@ -78,8 +80,9 @@ def project_sensitive(spark, d):
 
 @query("SELECT c_custkey, '***' AS c_name, 0.0::DOUBLE AS c_acctbal FROM customer")
 def project_mask(spark, d):
-    masks = {"c_name": "hidden", "c_acctbal": 0.0} | {"c_name": "***"}  # a later policy wins
-    return table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").withColumns({k: F.lit(v) for k, v in masks.items()})
+    hide = lambda **masks: lambda context: hk.Decision(masks=masks)
+    decision = hk.decide([hide(c_name="hidden", c_acctbal=0.0), hide(c_name="***")], {})  # a later policy wins
+    return hk.masked(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), decision)
 
 
 @query("SELECT l_orderkey, strlen(l_orderkey::VARCHAR) || ':' || l_orderkey || strlen(l_partkey::VARCHAR) || ':' || l_partkey || strlen(l_suppkey::VARCHAR) || ':' || l_suppkey || strlen(l_linenumber::VARCHAR) || ':' || l_linenumber AS meta_id FROM lineitem")

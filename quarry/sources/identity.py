@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: texts that mean yes or no
-YES = ["true", "t", "yes", "y", "1", "on", "enabled", "active"]
-NO = ["false", "f", "no", "n", "0", "off", "disabled", "inactive"]
+YES = ["1", "t", "true", "y", "yes", "active", "enabled"]
+NO = ["0", "f", "false", "n", "no", "inactive", "disabled", ""]
+
+
+USER = {"id": "string", "external_id": "string", "department_id": "string", "roles": "array<string>", "enabled": "boolean"}
+DEPARTMENT = {"id": "string", "parent_id": "string", "name": "string"}
 
 
 def as_list(df: DataFrame, name: str) -> Column:
@@ -19,13 +25,29 @@ def as_list(df: DataFrame, name: str) -> Column:
 
 
 def as_flag(df: DataFrame, name: str) -> Column:
-    """A boolean as it is; a text by the usual words; null otherwise."""
-    if isinstance(df.schema[name].dataType, T.BooleanType):
+    """A boolean as it is; a number is true unless it is 0; a text by the words above; null otherwise."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
         return F.col(name)
+    if isinstance(kind, T.NumericType):
+        return F.col(name) != 0
     c = F.lower(F.trim(F.col(name).cast("string")))
     return F.when(c.isin(YES), True).when(c.isin(NO), False)
 
 
+def from_function(load: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(users, departments) of a caller's own source, in the directory's columns; missing ones are null."""
+    users, departments = load()
+    need = lambda df, columns: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
+    return need(users, USER), need(departments, DEPARTMENT)
+
+
+def resolved(rows: DataFrame, known: DataFrame, ref: str, external: str = "external_id", key: str = "id") -> DataFrame:
+    """``rows`` with an external reference replaced by the key of the row that has it; null where nobody has."""
+    side = known.select(F.col(external).alias(ref), F.col(key).alias("_key"))
+    return rows.join(side, ref, "left").withColumn(ref, F.col("_key")).drop("_key").select(*rows.columns)
+
+
 def mapped_users(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``columns``: directory field -> source column; roles and enabled are coerced, ids become text."""
     out = {k: F.col(v).cast("string") for k, v in columns.items()}
