@@ -55,6 +55,11 @@ def cascade(children: DataFrame, gone: DataFrame, parent_keys: list[str]) -> Dat
     return children.join(gone.select(record_key(gone, *parent_keys).alias("parent_id")).distinct(), "parent_id", "left_anti")
 
 
+def meta_of(side: DataFrame, keys: list[str]) -> DataFrame:
+    """The side rows of some records."""
+    return side.where(F.col("record_key").isin(keys))
+
+
 def upsert_meta(side: DataFrame, changes: DataFrame) -> DataFrame:
     """The side table after changes (record_key, status, created_time, modified_time): what was created stays, a status defaults to draft."""
     old, new = side.alias("o"), changes.alias("n")
@@ -73,6 +78,21 @@ def next_index(existing: DataFrame, new: DataFrame, key: str, order: list[str],
     return new.join(last, key, "left").withColumn(index, F.coalesce("_last", F.lit(0)) + n).drop("_last")
 
 
+def next_ordinals(existing: DataFrame, key: str, index: str) -> DataFrame:
+    """(key, next): one more than the largest index each key has."""
+    return existing.groupBy(key).agg((F.max(index) + 1).alias("next"))
+
+
+#: what a failed write means to its caller
+ERRORS = {"UNRESOLVED_COLUMN": "data.schema.drift", "FIELD_NOT_FOUND": "data.schema.drift", "INCOMPATIBLE_COLUMN_TYPE": "data.schema.drift", "CAST_INVALID_INPUT": "data.field.type", "NOT_NULL_ASSERT_VIOLATION": "data.required", "PATH_NOT_FOUND": "data.schema.drift"}
+
+
+def error_code(e: Exception) -> str:
+    """The library's code of a Spark failure."""
+    found = (e.getCondition() if hasattr(e, "getCondition") else None) or ""
+    return ERRORS.get(found.split(".")[0], "data.failed")
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, n) of key tuples that more than one row has."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

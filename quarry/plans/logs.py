@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logs as lg
+from ..operators import tools
 from ..sources import frames as fr
 from ..sources.storage import table
 from .registry import query
@@ -27,8 +28,8 @@ def queue(spark, d):
 
 @query(f"WITH {QUEUE_SQL} SELECT id, action FROM q WHERE status = 'pending' AND (action ILIKE '%ic%' OR requested_by ILIKE '%ic%') AND ts >= TIMESTAMP '2024-01-05' ORDER BY ts DESC, id LIMIT 30")
 def approvals_list(spark, d):
-    found = queue(spark, d).where("status = 'pending' and ts >= timestamp_ntz '2024-01-05'").where(F.col("action").ilike("%ic%") | F.col("requested_by").ilike("%ic%"))
-    return found.orderBy(F.col("ts").desc(), "id").limit(30).select("id", "action")
+    found = lg.approvals(queue(spark, d), status="pending", search="ic", since=F.lit("2024-01-05").cast("timestamp_ntz"))
+    return found.limit(30).select("id", "action")
 
 
 @query(f"WITH {QUEUE_SQL} SELECT id FROM q WHERE status = 'pending' AND requested_by IS DISTINCT FROM '7' AND ((len(approver_roles) = 0 AND len(approver_groups) = 0) OR list_has_any(approver_roles, ['manager']) OR list_has_any(approver_groups, ['g1']) OR (escalated AND list_contains(escalate_to, '7')))")
@@ -55,11 +56,11 @@ def approval_quorum(spark, d):
     return lg.approval_status(votes, 3)
 
 
-@query(f"WITH {QUEUE_SQL} SELECT id, CASE WHEN status = 'pending' AND ts < TIMESTAMP '2024-01-10' THEN 'expired' ELSE status END AS effective FROM q")
+@query(f"WITH {QUEUE_SQL} SELECT id, CASE WHEN status = 'pending' AND ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-11' THEN 'expired' ELSE status END AS effective FROM q")
 def approval_status(spark, d):
     """A pending request past its time counts as expired."""
-    q = queue(spark, d)
-    return q.select("id", F.when((F.col("status") == "pending") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")), "expired").otherwise(F.col("status")).alias("effective"))
+    q = queue(spark, d).withColumn("expires_at", F.col("ts") + F.expr("interval 1 day"))
+    return q.select("id", lg.expired(q, F.lit("2024-01-11").cast("timestamp_ntz")).alias("effective"))
 
 
 EVENTS_SQL = "ev AS (SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'audit' WHEN 'signup' THEN 'schema.changed' ELSE 'record.updated' END AS type, CASE WHEN event_type = 'purchase' THEN 'orders' ELSE 'customer' END AS object, user_id::VARCHAR AS actor_id, 't' || (user_id % 3) AS scope_id FROM events)"
@@ -86,17 +87,25 @@ def audit_replay_state(spark, d):
     return lg.latest_state(table(spark, d, "events").withColumn("id", F.col("event_id")), "user_id", "props")
 
 
-@query(fr.with_frames("audit", "SELECT id, row_number() OVER (ORDER BY ts, id) AS audit_id, action FROM audit WHERE ts < TIMESTAMP '2024-01-03'"))
+@query(fr.with_frames("audit", "SELECT id, row_number() OVER (ORDER BY ts, id) AS audit_id, action FROM audit"))
 def audit_append(spark, d):
-    """A batch of new log rows, numbered on from what is there; the batch is bounded by its flush interval."""
-    from ..operators.logs import numbered
-
-    batch = fr.audit_events(spark, d).where("ts < timestamp_ntz '2024-01-03'")
-    return numbered(batch, ["ts", "id"], "audit_id").select("id", "audit_id", "action")
+    """A batch of new log rows, numbered in order."""
+    return lg.appended(fr.audit_events(spark, d), ["ts", "id"], "audit_id").select("id", "audit_id", "action")
 
 
 @query("SELECT event_id AS id, '{\"stage\":\"execute\",\"outcome\":\"' || CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END || '\"}' AS stage FROM events")
 def evidence_append(spark, d):
-    e = table(spark, d, "events")
-    stage = F.struct(F.lit("execute").alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("outcome"))
-    return e.select(F.col("event_id").alias("id"), F.to_json(stage).alias("stage"))
+    calls = table(spark, d, "events").withColumn("id", F.col("event_id"))
+    return lg.evidence(calls, "execute", F.when(F.col("event_type") == "error", "failed").otherwise("ok"))
+
+
+@query("""WITH c AS (SELECT user_id % 200 AS key, ts, event_id AS id FROM events), d AS (SELECT DISTINCT key, CASE WHEN key % 5 = 0 THEN 'rejected' ELSE 'approved' END AS status, CASE WHEN key % 3 <> 0 THEN TIMESTAMP '2024-01-05' END AS due FROM c),
+j AS (SELECT c.*, status, due, row_number() OVER (PARTITION BY c.key ORDER BY ts, id) AS k, row_number() OVER (PARTITION BY c.key, coalesce(ts >= due, false) ORDER BY ts, id) AS n FROM c JOIN d USING (key))
+SELECT key, id, CASE WHEN due IS NULL OR ts < due THEN CASE WHEN k = 1 THEN 'enqueue' ELSE 'wait' END WHEN status = 'rejected' THEN 'deny:rejected'
+  WHEN n = 1 THEN CASE WHEN ts < TIMESTAMP '2024-01-07' THEN 'consume' ELSE 'deny:expired' END WHEN min(ts) FILTER (ts >= due) OVER (PARTITION BY key) < TIMESTAMP '2024-01-07' THEN 'deny:consumed' ELSE 'deny:expired' END AS outcome FROM j""")
+def approval_outcomes(spark, d):
+    """What each call that needs approval comes to: asked for, waiting, used once, or denied."""
+    calls = table(spark, d, "events").select((F.col("user_id") % 200).alias("key"), "ts", F.col("event_id").alias("id"))
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp_ntz")
+    decisions = calls.select("key").distinct().select("key", F.when(F.col("key") % 5 == 0, "rejected").otherwise("approved").alias("status"), F.when(F.col("key") % 3 != 0, day(5)).alias("decided_at"), day(7).alias("expires_at"))
+    return tools.call_outcomes(calls, decisions)

@@ -8,6 +8,7 @@ from ..functions.keys import encode_cursor
 from ..operators import find as fd
 from ..operators import logs as lg
 from ..operators import state as st
+from ..operators import write as wr
 from ..operators.closure import in_cycles, subtree
 from ..sources import frames as fr
 from ..sources.storage import table
@@ -87,6 +88,6 @@ def department_cycles(spark, d):
     return in_cycles(dept.withColumn("parent_id", F.when(F.col("id") == "r2", "n7").otherwise(F.col("parent_id"))))
 
 
-@query("SELECT o_custkey, count(*) + 1 AS next_idx FROM orders GROUP BY o_custkey")
+@query("SELECT l_orderkey, max(l_linenumber) + 1 AS next_idx FROM lineitem GROUP BY l_orderkey")
 def next_ordinal(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) + 1).alias("next_idx"))
+    return wr.next_ordinals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").withColumnRenamed("next", "next_idx")
