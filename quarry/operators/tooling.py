@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import SPARK_TYPES, Field, ObjectDef
+from ..model import SPARK_TYPES, Field, ObjectDef, Permission
 
 
 def canonical_json(value) -> str:
@@ -17,12 +18,47 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def canonical(obj: ObjectDef) -> dict:
+    """A whole definition as plain data: all that a field or a role says, without what it leaves at its default."""
+    said = lambda x, kind: {f.name: v for f in dataclasses.fields(kind) if (v := getattr(x, f.name)) != f.default}
+    out = {"name": obj.name, "fields": [said(f, Field) for f in obj.fields]}
+    if obj.permissions is not None:
+        out["permissions"] = {r: said(p, Permission) for r, p in obj.permissions.items()}
+    return out | ({"parent": obj.parent} if obj.parent else {})
+
+
 def schema_hash(objects: list[ObjectDef]) -> str:
-    """Of all definitions, whatever their order."""
-    texts = sorted(canonical_json({"name": o.name, "fields": [[f.name, f.type, f.primary] for f in o.fields]}) for o in objects)
+    """Of all that the definitions say, whatever their order."""
+    texts = sorted(canonical_json(canonical(o)) for o in objects)
     return hashlib.sha256("\n".join(texts).encode()).hexdigest()
 
 
+def append_revision(revisions: DataFrame, digest: str, at) -> DataFrame:
+    """Revisions (id, parent, hash, at) after a schema of this hash: one more, whose parent is the latest, unless that has it already."""
+    last = revisions.orderBy(F.desc("id")).limit(1)
+    new = revisions.sparkSession.range(1).select(F.lit(digest).alias("hash"), F.lit(at).cast(revisions.schema["at"].dataType).alias("at"))
+    new = new.join(last.select(F.col("id").alias("parent"), F.col("hash").alias("_last")), F.lit(True), "left").where(~F.col("_last").eqNullSafe(F.col("hash")))
+    return revisions.unionByName(new.select((F.coalesce("parent", F.lit(0)) + 1).cast("long").alias("id"), "parent", "hash", "at"))
+
+
+#: type names that stand for each other
+_SAME = {"varchar": "string", "char": "string", "integer": "int", "long": "bigint", "short": "smallint", "real": "float", "numeric": "decimal", "timestamp_ltz": "timestamp"}
+
+
+def type_matches(expected: str, actual: str) -> bool:
+    """Whether a live column type fits a declared one: names that stand for each other, any length of text, precision and scale only if declared."""
+
+    def parts(text: str) -> tuple[str, str]:
+        base, _, size = text.strip().lower().rstrip(")").partition("(")
+        return _SAME.get(base.strip(), base.strip()), "".join(size.split())
+
+    if expected.lower().startswith("array<") or actual.lower().startswith("array<"):
+        both = [x.strip().lower() for x in (expected, actual)]
+        return all(x.startswith("array<") for x in both) and type_matches(*(x[6:-1] for x in both))
+    (a, size), (b, live) = parts(expected), parts(actual)
+    return a == b and (a != "decimal" or not size or size == live or "," not in size and live.split(",")[0] == size)
+
+
 def expected_columns(obj: ObjectDef, keys: dict[str, str] | None = None) -> dict[str, str]:
     """Stored column -> Spark type; ``keys``: target object -> its key's type."""
     out = {f.name: (SPARK_TYPES[f.type].simpleString() if SPARK_TYPES[f.type] else (keys or {}).get(f.target, "string")) for f in obj.fields if not f.virtual}
@@ -32,7 +68,7 @@ def expected_columns(obj: ObjectDef, keys: dict[str, str] | None = None) -> dict
 def drift(obj: ObjectDef, schema: T.StructType) -> list[tuple[str, str]]:
     """(column, ok | missing | type | extra) of a table against its object."""
     actual, wanted = {f.name: f.dataType.simpleString() for f in schema}, expected_columns(obj)
-    rows = [(n, "missing" if n not in actual else "ok" if actual[n] == t else "type") for n, t in wanted.items()]
+    rows = [(n, "missing" if n not in actual else "ok" if type_matches(t, actual[n]) else "type") for n, t in wanted.items()]
     return rows + [(n, "extra") for n in actual if n not in wanted]
 
 

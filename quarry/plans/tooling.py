@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from ..model import Field, ObjectDef
+from ..model import Field, ObjectDef, Permission
 from ..operators import tooling as tl
 from ..sources.storage import table
 from . import objects as ob
@@ -44,17 +46,30 @@ def relation_edges(spark, d):
     return spark.createDataFrame(tl.relation_edges([ob.ORDERS, ob.CUSTOMER, ob.LINE]), "source string, field string, target string, kind string")
 
 
-@query("SELECT * FROM (VALUES ('customer', '', 'added'), ('orders', 'o_custkey', 'changed'), ('orders', 'o_note', 'removed'), ('orders', 'o_orderdate', 'added'), ('orders', 'o_orderpriority', 'added'), ('orders', 'o_orderstatus', 'added')) t(object, field, change)")
+@query("SELECT * FROM (VALUES ('customer', '', 'added'), ('orders', 'o_custkey', 'changed'), ('orders', 'o_note', 'removed'), ('orders', 'o_orderdate', 'added'), ('orders', 'o_orderpriority', 'added'), ('orders', 'o_orderstatus', 'added'), ('orders', 'o_totalprice', 'changed')) t(object, field, change)")
 def metadata_changes(spark, d):
     stored = ObjectDef("orders", tuple(f for f in ob.PLAIN_ORDERS.fields if not f.virtual))
-    changed = tl.metadata_changes([DRIFTED], [stored, ob.CUSTOMER])
-    return spark.createDataFrame([x for x in changed if x[1] not in ("o_totalprice",)], "object string, field string, change string")
+    return spark.createDataFrame(tl.metadata_changes([DRIFTED], [stored, ob.CUSTOMER]), "object string, field string, change string")
+
+
+NOTE = ObjectDef("note", (Field("id", "bigint", primary=True), Field("text", "text", required=True, max_length=9)), {"r": Permission("own", exclude=("text",))})
+PAGE = ObjectDef("page", (Field("id", primary=True), Field("notes", "details", target="note")))
+NOTE_TEXT = '{"fields":[{"name":"id","primary":true,"type":"bigint"},{"max_length":9,"name":"text","required":true,"type":"text"}],"name":"note","permissions":{"r":{"exclude":["text"],"read":"own"}}}'
+PAGE_TEXT = '{"fields":[{"name":"id","primary":true},{"name":"notes","target":"note","type":"details"}],"name":"page"}'
 
 
-@query("SELECT true AS same, 64::BIGINT AS n")
+@query(f"SELECT sha256('{NOTE_TEXT}' || chr(10) || '{PAGE_TEXT}') AS hash")
 def schema_hash(spark, d):
-    a, b = tl.schema_hash([ob.ORDERS, ob.CUSTOMER]), tl.schema_hash([ob.CUSTOMER, ob.ORDERS])
-    return spark.createDataFrame([(a == b, len(a))], "same boolean, n long")
+    return spark.createDataFrame([(tl.schema_hash([PAGE, NOTE]),)], "hash string")
+
+
+@query("SELECT * FROM (VALUES (1, NULL, 'a'), (2, 1, 'b'), (3, 2, 'a')) t(id, parent, hash)")
+def schema_revisions(spark, d):
+    """One revision for each hash that differs from the latest."""
+    revisions = spark.createDataFrame([], "id long, parent long, hash string, at timestamp")
+    for digest in ("a", "a", "b", "b", "a"):
+        revisions = tl.append_revision(revisions, digest, datetime(2024, 1, 2))
+    return revisions.select("id", "parent", "hash")
 
 
 @query("SELECT 'orders' AS object")
