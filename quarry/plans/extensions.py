@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..sources.storage import table
 from ..streaming import jobs
 from .registry import query
 
@@ -19,8 +18,7 @@ def stream_sliding(spark, d):
 
 @query("""SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""")
 def stream_sessions(spark, d):
-    """Batch form of the session windows: the same function takes a stream."""
-    return jobs.sessions(table(spark, d, "events"), "6 hours")
+    return jobs.drained(spark, jobs.sessions(jobs.events_stream(spark, d), "6 hours"), "complete")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
