@@ -12,10 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; where it is unset, as in tests, a new one."""
+    """The folder that spark.checkpoint.dir names, which all executors share; where it is unset and Spark runs in one process, as in tests, a new one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
     return named or sc.getCheckpointDir()
 
