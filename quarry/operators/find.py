@@ -22,6 +22,25 @@ DEFAULT_LIMIT, MAX_ROWS, MAX_FILTERS, MAX_SORTS = 100, 1000, 50, 8
 VIRTUAL = [f"{PREFIX}id", *(f"{PREFIX}{m}" for m in META_FIELDS)]
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What one request may ask for."""
+
+    rows: int = MAX_ROWS
+    depth: int = 10
+    joins: int = 8
+    filters: int = MAX_FILTERS
+    sorts: int = MAX_SORTS
+    sql_length: int = 20_000
+    seconds: float = 5.0
+
+    @classmethod
+    def of(cls, **partial) -> Budget:
+        """The given limits; those that are absent or no positive number stay at their default."""
+        ok = {k: v if k == "seconds" else int(v) for k, v in partial.items() if k in cls.__dataclass_fields__ and isinstance(v, (int, float)) and v == v and v not in (float("inf"),) and v > 0}
+        return cls(**ok)
+
+
 @dataclass(frozen=True)
 class Find:
     filter: dict = field(default_factory=dict)

@@ -118,7 +118,7 @@ def create(store: Store, obj: ObjectDef, new: DataFrame, subject: Subject, at: d
     twice = wr.duplicates(good, *obj.keys).select(*obj.keys, F.lit("data.unique").alias("error_code"))
     clash = taken.unionByName(twice).distinct()
     good, refused = good.join(clash, obj.keys, "left_anti"), refused.unionByName(clash)
-    rows = _defaults(good, obj, at)
+    rows = wr.json_bound(_defaults(good, obj, at), obj)
     if (tenant := obj.marked("scope")) and subject.scope is not None:
         rows = rows.withColumn(tenant.name, F.lit(subject.scope))
     for f in obj.fields:
@@ -171,6 +171,7 @@ def update(store: Store, obj: ObjectDef, changes: DataFrame, subject: Subject, a
     mine = sc.manageable(store.rows, obj, subject, directory).select(*obj.keys)
     found = changes.join(mine, obj.keys, "left_semi")
     missing = changes.join(mine, obj.keys, "left_anti").select(*obj.keys, F.lit("data.recordNotFound").alias("error_code"))
+    found = wr.json_bound(found, obj)
     whole = wr.update(store.rows.join(found.select(*obj.keys), obj.keys, "left_semi").select(*store.rows.columns), obj.keys, found)
     good, refused = _checked(whole, obj)
     refused = refused.unionByName(missing)

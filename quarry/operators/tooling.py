@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,55 @@ def append_revision(revisions: DataFrame, digest: str, at) -> DataFrame:
     return revisions.unionByName(new.select((F.coalesce("parent", F.lit(0)) + 1).cast("long").alias("id"), "parent", "hash", "at"))
 
 
+_SNAKE = re.compile(r"[a-z][a-z0-9_]*")
+_WHOLE = ("smallint", "integer", "bigint")
+_NUMBERS = (*_WHOLE, "number", "real", "double", "currency")
+
+
+def definition_errors(obj: ObjectDef) -> list[tuple[str, str]]:
+    """(code, where) of what is wrong with a definition beyond what it cannot be made with at all."""
+    out, names = [], {f.name: f for f in obj.fields}
+
+    def need(ok, code: str, where: str) -> None:
+        if not ok:
+            out.append((code, where))
+
+    need(_SNAKE.fullmatch(obj.name), "object.name.snake", obj.name)
+    for f in obj.fields:
+        need(_SNAKE.fullmatch(f.name), "field.name.snake", f.name)
+        need(f.min is None or f.max is None or f.min <= f.max, "field.minGtMax", f.name)
+        need(f.type not in _WHOLE or all(x is None or x == int(x) for x in (f.min, f.max)), "field.min.integer", f.name)
+        need(f.min_length is None or f.max_length is None or f.min_length <= f.max_length, "field.minLengthGtMaxLength", f.name)
+        if f.pattern is not None:
+            try:
+                re.compile(f.pattern)
+            except re.error:
+                out.append(("field.regex.invalid", f.name))
+        need(len(set(f.values)) == len(f.values), "field.enum.options.duplicate", f.name)
+        need(not (f.multiple and f.primary), "field.enum.multiple.primary", f.name)
+        need(not f.virtual and f.type != "relation" or f.target, "field.target.required", f.name)
+        need(not f.formula or not (f.primary or f.required or f.default is not None), "formula.excludedAttr", f.name)
+        if f.default is not None:
+            whole = isinstance(f.default, int) and not isinstance(f.default, bool)
+            kind = "integer" if f.type in _WHOLE else "number" if f.type in _NUMBERS else "boolean" if f.type == "boolean" else "string"
+            fits = {"integer": whole, "number": whole or isinstance(f.default, float), "boolean": isinstance(f.default, bool), "string": isinstance(f.default, str)}[kind]
+            need(fits, f"field.default.{kind}", f.name)
+            need(not f.values or f.default in f.values, "field.default.inOptions", f.name)
+    for mark in ("ownership", "department", "scope"):
+        need(sum(bool(getattr(f, mark)) for f in obj.fields) <= 1, f"field.{mark}.many", obj.name)
+    for role, p in (obj.permissions or {}).items():
+        scopes = {s for s in (p.read, p.manage) if s is not None}
+        need(scopes <= {"own", "department", "all"}, "permission.scope.invalid", role)
+        need("own" not in scopes or obj.marked("ownership") or obj.parent, "permission.own.ownershipField", role)
+        need("department" not in scopes or obj.marked("department") or obj.marked("ownership") or obj.parent, "permission.department.missingField", role)
+        for name in p.create_fields or ():
+            need(name in names, "permission.createFields.unknown", f"{role}.{name}")
+        if p.create_fields is not None:
+            for f in obj.fields:
+                need(not f.required or f.primary or f.formula or f.type == "seq_no" or f.name in p.create_fields, "permission.createFields.missingRequired", f"{role}.{f.name}")
+    return out
+
+
 #: type names that stand for each other
 _SAME = {"varchar": "string", "char": "string", "integer": "int", "long": "bigint", "short": "smallint", "real": "float", "numeric": "decimal", "timestamp_ltz": "timestamp"}
 

@@ -9,16 +9,18 @@ fires first. An action that does not apply is refused and changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hooks import Hooks
 from .state import seconds
 
 START_NODE = ""
+Hook = Callable[[DataFrame], None]
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,6 @@ class Action:
 @dataclass
 class Flow:
     versions: tuple[Version, ...]
-    locks: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def _nodes(self, run: Run) -> tuple[Node, ...]:
         return self.versions[run.version].nodes
@@ -146,6 +147,33 @@ class Flow:
 
 
 RUNS = "state string, node string, waiting string, told string, originator string, approval string, definition string, due_at double, accepted long, refused long"
+STEPS = "id long, action string, actor string, accepted boolean, from_node string, to_node string, state string"
+
+
+def _ordered(log: DataFrame) -> DataFrame:
+    """A log's actions, each key's in order of (ts, id) within one task."""
+    timed = log.select("key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "id", "action", "actor", "arg", F.coalesce("admin", F.lit(False)).alias("admin"))
+    return timed.repartition("key").sortWithinPartitions("key", "t", "id")
+
+
+def _names(fields: str) -> list[str]:
+    return ["key", *(f.split()[0] for f in fields.split(", "))]
+
+
+def _played(flow: Flow, batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Batch by batch, each action as (key, row, run before timers, run before it, run after it, accepted)."""
+    key, run = None, None
+    for rows in batches:
+        out = []
+        for row in rows.itertuples(index=False):
+            if run is None or row.key != key:
+                key, run = row.key, Run()
+            before = run
+            fired = flow.fired(run, row.t)
+            after = flow.act(fired, Action(row.action, row.actor, row.t, row.arg, bool(row.admin)))
+            run = fired if after is None else after
+            out.append((key, row, before, fired, run, after is not None))
+        yield out
 
 
 def runs(log: DataFrame, versions: tuple[Version, ...], until: float | None = None) -> DataFrame:
@@ -161,28 +189,48 @@ def runs(log: DataFrame, versions: tuple[Version, ...], until: float | None = No
             run = flow.fired(run, until)
         return (key, run.state, run.node, ",".join(run.waiting), ",".join(run.told), run.originator, run.approval, flow.versions[run.version].hash if run.version >= 0 else None, run.due, ok, no)
 
-    names = ["key", *(f.split()[0] for f in RUNS.split(", "))]
-
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, run, ok, no = None, None, 0, 0
-        for rows in batches:
+        last = None  # key, run, accepted, refused
+        for played in _played(flow, batches):
             done = []
-            for k, t, name, actor, arg, admin in zip(rows["key"], rows["t"], rows["action"], rows["actor"], rows["arg"], rows["admin"]):
-                if run is None or k != key:
-                    if run is not None:
-                        done.append(row(key, run, ok, no))
-                    key, run, ok, no = k, Run(), 0, 0
-                run = flow.fired(run, t)
-                after = flow.act(run, Action(name, actor, t, arg, bool(admin)))
-                ok, no = ok + (after is not None), no + (after is None)
-                run = run if after is None else after
-            yield pd.DataFrame(done, columns=names)
-        if run is not None:
-            yield pd.DataFrame([row(key, run, ok, no)], columns=names)
+            for key, _, _, _, run, accepted in played:
+                if last and last[0] != key:
+                    done.append(row(*last))
+                    last = None
+                ok, no = last[2:] if last else (0, 0)
+                last = (key, run, ok + accepted, no + (not accepted))
+            yield pd.DataFrame(done, columns=_names(RUNS))
+        if last:
+            yield pd.DataFrame([row(*last)], columns=_names(RUNS))
 
-    timed = log.select("key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "id", "action", "actor", "arg", F.coalesce("admin", F.lit(False)).alias("admin"))
-    ordered = timed.repartition("key").sortWithinPartitions("key", "t", "id")
-    return ordered.mapInPandas(fold, f"key {dict(log.dtypes)['key']}, {RUNS}")
+    return _ordered(log).mapInPandas(fold, f"key {dict(log.dtypes)['key']}, {RUNS}")
+
+
+def steps(log: DataFrame, versions: tuple[Version, ...]) -> DataFrame:
+    """(key, id, action, actor, accepted, from_node, to_node, state): every action and, without id and actor, every timer that fired before one."""
+    flow = Flow(versions)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for played in _played(flow, batches):
+            done = []
+            for key, row, before, fired, run, accepted in played:
+                if fired is not before:
+                    done.append((key, None, "timeout", None, True, before.node, fired.node, fired.state))
+                done.append((key, row.id, row.action, row.actor, accepted, fired.node, run.node, run.state))
+            yield pd.DataFrame(done, columns=_names(STEPS)).astype({"id": "Int64"})
+
+    return _ordered(log).mapInPandas(fold, f"key {dict(log.dtypes)['key']}, {STEPS}")
+
+
+def after_steps(found: DataFrame, on_exit: Hook | None = None, on_enter: Hook | None = None, after: Hook | None = None, on_timeout: Hook | None = None) -> list[str]:
+    """Hands the accepted :func:`steps` to the hooks that follow a transition: those that left a node, that came to one, all, and timers. Failures become warnings."""
+    done, moved = found.where("accepted"), ~F.col("from_node").eqNullSafe(F.col("to_node"))
+    sets = [(on_exit, done.where(moved & F.col("from_node").isNotNull())), (on_enter, done.where(moved & F.col("to_node").isNotNull())), (after, done), (on_timeout, done.where("action = 'timeout'"))]
+    warnings = []
+    for hook, rows in sets:
+        if hook is not None:
+            warnings += Hooks(after=[hook]).write(rows, lambda _: None)
+    return warnings
 
 
 def armed(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import record_key
 from ..model import ObjectDef
@@ -28,6 +29,13 @@ def violations(df: DataFrame, obj: ObjectDef) -> DataFrame:
     return df.select(*obj.keys, F.explode(found).alias("_v")).select(*obj.keys, "_v.field", "_v.rule")
 
 
+def json_bound(df: DataFrame, obj: ObjectDef) -> DataFrame:
+    """json fields that hold structs, arrays, maps or numbers as JSON text; texts are taken to be JSON already."""
+    kinds = {f.name: f.type for f in obj.fields}
+    found = {c: F.to_json(F.col(c)) if isinstance(t := df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(c).cast("string") for c in df.columns if kinds.get(c) in ("json", "jsonb") and not isinstance(df.schema[c].dataType, T.StringType)}
+    return df.withColumns(found) if found else df
+
+
 def create(table: DataFrame, new: DataFrame, obj: ObjectDef, defaults: dict[str, Column] | None = None, tenant: tuple[str, str] | None = None) -> DataFrame:
     """``table`` with the new rows: defaults where a field is absent, the tenant forced."""
     for name, value in (defaults or {}).items():

@@ -52,6 +52,18 @@ def metadata_changes(spark, d):
     return spark.createDataFrame(tl.metadata_changes([DRIFTED], [stored, ob.CUSTOMER]), "object string, field string, change string")
 
 
+WRONG = ObjectDef("wrong", (
+    Field("id", "bigint", primary=True), Field("Upper"), Field("n", "integer", min=5, max=1), Field("half", "integer", min=0.5), Field("t", min_length=3, max_length=2), Field("p", pattern="("), Field("e", "enum", values=("a", "a"), default="z"),
+    Field("f", "double", formula="n * 2", required=True), Field("must", required=True), Field("o1", ownership="internal"), Field("o2", ownership="internal"),
+), {"a": Permission("department"), "b": Permission("some", create_fields=("id", "nope"))})
+
+
+@query("""SELECT * FROM (VALUES ('field.name.snake', 'Upper'), ('field.minGtMax', 'n'), ('field.min.integer', 'half'), ('field.minLengthGtMaxLength', 't'), ('field.regex.invalid', 'p'), ('field.enum.options.duplicate', 'e'),
+('field.default.inOptions', 'e'), ('formula.excludedAttr', 'f'), ('field.ownership.many', 'wrong'), ('permission.scope.invalid', 'b'), ('permission.createFields.unknown', 'b.nope'), ('permission.createFields.missingRequired', 'b.must')) t(code, place)""")
+def definition_errors(spark, d):
+    return spark.createDataFrame(tl.definition_errors(WRONG), "code string, place string")
+
+
 NOTE = ObjectDef("note", (Field("id", "bigint", primary=True), Field("text", "text", required=True, max_length=9)), {"r": Permission("own", exclude=("text",))})
 PAGE = ObjectDef("page", (Field("id", primary=True), Field("notes", "details", target="note")))
 NOTE_TEXT = '{"fields":[{"name":"id","primary":true,"type":"bigint"},{"max_length":9,"name":"text","required":true,"type":"text"}],"name":"note","permissions":{"r":{"exclude":["text"],"read":"own"}}}'

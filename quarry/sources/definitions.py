@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.formula_text import validate_all
 from ..functions.types import TYPES
 from ..model import SPARK_TYPES, Field, ModelError, ObjectDef, Permission
-from ..operators.tooling import canonical_json
+from ..operators.tooling import canonical_json, definition_errors
 from ..operators.workflow import Node, Version
 
 MAX_ASSIGNEES = 1000
@@ -98,6 +98,8 @@ def load_objects(spark: SparkSession, folder: str) -> dict[str, ObjectDef]:
             raise ModelError("object.duplicate", obj.name)
         out[obj.name] = obj
     for o in out.values():
+        for code, where in definition_errors(o):
+            raise ModelError(code, f"{o.name}: {where}")
         for f in o.fields:
             if f.target and f.target not in out:
                 raise ModelError("object.relation.target", f"{o.name}.{f.name}: {f.target}")

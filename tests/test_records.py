@@ -196,6 +196,13 @@ def test_types_and_revisions(spark):
     assert wr.error_code(e.value) == "data.schema.drift"
 
 
+def test_budgets_and_json(spark):
+    assert fd.Budget.of(rows=10, sorts=0, filters=-1, seconds=0.5, joins="x", depth=float("nan")) == fd.Budget(rows=10, seconds=0.5)
+    obj = ObjectDef("o", (Field("id", primary=True), Field("a", "json"), Field("b", "jsonb"), Field("c", "json")))
+    df = spark.createDataFrame([("1", [1, 2], 5, "{}")], "id string, a array<int>, b int, c string")
+    assert tuple(wr.json_bound(df, obj).first()) == ("1", "[1,2]", "5", "{}")
+
+
 def test_buffered_sink():
     out = []
     sink = jobs.Buffered(out.append, size=3, every=10, cap=5)

@@ -86,6 +86,19 @@ def test_runs_in_sorted_batches(spark):
     assert wf.runs(log.limit(0), (wf.Version(NODES),)).count() == 0
 
 
+def test_steps_and_their_hooks(spark):
+    at = datetime(2024, 1, 1)
+    log = spark.createDataFrame([("k", at, 1, "submit", "o", None, None), ("k", at, 2, "approve", "x", None, None), ("k", at + timedelta(days=2), 3, "approve", "c", None, None), ("k", at + timedelta(days=2), 4, "approve", "d", None, None)],
+                                "key string, ts timestamp, id long, action string, actor string, arg string, admin boolean")
+    found = wf.steps(log, (wf.Version(NODES),))
+    assert [(r["id"], r["action"], r["accepted"], r["from_node"], r["to_node"], r["state"]) for r in found.collect()] == [
+        (1, "submit", True, None, "review", "running"), (2, "approve", False, "review", "review", "running"), (None, "timeout", True, "review", "sign", "running"), (3, "approve", True, "sign", "sign", "running"), (4, "approve", True, "sign", None, "finished")]
+    seen = {}
+    keep = lambda name: lambda d: seen.setdefault(name, d.count())
+    assert wf.after_steps(found, keep("exit"), keep("enter"), keep("after"), lambda d: 1 / 0) == ["ZeroDivisionError: division by zero"]
+    assert seen == {"exit": 2, "enter": 2, "after": 4}
+
+
 def test_definitions(spark, tmp_path):
     users = spark.createDataFrame([("u1", ["m"], True), ("u2", ["m", "x"], None), ("u3", ["m"], False), ("u4", ["x"], True)], "id string, roles array<string>, enabled boolean")
     text = '{"nodes": [{"id": "a", "assign": {"roles": ["m"], "mode": "all"}, "onTimeout": {"after": "2h", "action": "reject"}}, {"id": "b", "kind": "notify", "assign": {"roles": ["x", "m"]}, "onReject": "a"}]}'
