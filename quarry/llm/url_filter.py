@@ -35,7 +35,11 @@ PARTITION_BYTES = 8 << 20
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-BLOCKED_WORDS = ["ads", "adult", "bets", "betting", "casino", "escort", "gambling", "jackpot", "payday", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx"]
+BLOCKED_WORDS = """
+ads adserver adult bets betting bingo camgirl camgirls casino casinos cialis clickbank doubleclick erotic erotica escort escorts fetish gambling
+hentai hookup jackpot keygen keygens lotto malware nudes payday phentermine phishing pills poker popunder porn porno roulette sex sexcam sexy slots
+spam sportsbook spyware torrent torrents viagra warez xvideos xxx
+""".split()
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
