@@ -58,7 +58,9 @@ def test_workflow_stream_equals_batch(spark):
     assert got == {tuple(r) for r in st.workflow_state(log(table(spark, SF, "events")), 2).collect()}
 
 
-def test_subtree_and_cycles(spark):
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_subtree_and_cycles(spark, small, monkeypatch):
+    monkeypatch.setattr(closure, "SMALL_TREE", small)
     tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y"), ("lost", "gone")], "id string, parent_id string")
     assert sorted(r[0] for r in closure.subtree(tree, tree.where("id = 'b'").select("id")).collect()) == ["b", "c"]
     assert sorted(r[0] for r in closure.subtree(tree, tree.where("id = 'x'").select("id")).collect()) == ["x", "y", "z"]
@@ -136,6 +138,30 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in text and "TakeOrderedAndProject" in text and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in text
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quarry.sources.storage import shared_dir
+
+    sc = SimpleNamespace(master="spark://x:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_events_in_a_folder_and_late_rows(spark, tmp_path):
+    table(spark, SF, "events").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    sent = jobs.relay(spark, str(tmp_path))
+    assert sent.count() == table(spark, SF, "events").count() == sent.select("id").distinct().count()
+
+
+def test_scopes_take_the_columns_type(spark):
+    from quarry.operators import scope as sc
+    from quarry.sources import frames as fr
+
+    rows = sc.scoped(table(spark, SF, "orders"), ob.PLAIN_ORDERS, ob.REGION, "department", sc.Directory(fr.users(spark, SF), fr.departments(spark, SF)))
+    assert "cast(o_custkey" not in plan(rows)
+
+
 def test_side_table_is_joined_only_when_used(spark):
     from quarry.sources import frames as fr
 
