@@ -105,28 +105,28 @@ def fit(texts: list[str], labels: np.ndarray, segment: int | None = SEGMENT, epo
     bias = np.zeros(2, np.float32)
     seen, seen_soft, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     local = np.repeat(np.arange(len(rows_at)), np.diff(np.append(rows_at, n_seg)))
+    # A softmax of two classes depends on the difference of its columns alone, so one number for each
+    # bucket carries an average forward, and one carries its gradient back.
     for _ in range(epochs):
-        vec = np.add.reduceat(emb[grams], begin) / count[:, None]
-        bag = np.add.reduceat(vec[word], seg_at) / seg_size[:, None]
-        logit = bag @ soft + bias
-        gap = logit[:, 1] - logit[:, 0]
+        diff = soft[:, 1] - soft[:, 0]
+        each = np.add.reduceat((emb @ diff)[grams], begin) / count
+        gap = np.add.reduceat(each[word], seg_at) / seg_size + (bias[1] - bias[0])
         top = np.maximum.reduceat(gap, rows_at)
         share = np.exp(sharp * (gap - top[local]))
         share /= np.add.reduceat(share, rows_at)[local]  # the soft maximum's weights
         pooled = np.add.reduceat(share * gap, rows_at)
         err = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) * weight / len(y)
-        d_gap = share * err[local]
-        d_logit = np.stack([-d_gap, d_gap], axis=1)
-        d_soft, d_bias = bag.T @ d_logit, d_logit.sum(axis=0)
-        d_bag = (d_logit @ soft.T) / seg_size[:, None]
-        d_vec = np.add.reduceat(d_bag[seg][by_word], word_at) / count[:, None]
-        d_emb = np.add.reduceat(d_vec[gram_word], gram_at)
+        d_gap = (share * err[local]).astype(np.float32)
+        d_each = np.add.reduceat((d_gap / seg_size)[seg][by_word], word_at) / count
+        back = np.add.reduceat(d_each[gram_word], gram_at)
+        d_emb, toward = back[:, None] * diff, emb[used].T @ back
+        d_soft, d_bias = np.stack([-toward, toward], axis=1), np.array([-d_gap.sum(), d_gap.sum()])
         seen[used, 0] += (d_emb * d_emb).mean(axis=1)
         seen_soft += d_soft * d_soft
         seen_bias += d_bias * d_bias
         emb[used] -= rate * d_emb / np.sqrt(seen[used])
         soft -= rate * d_soft / np.sqrt(seen_soft)
-        bias -= rate * d_bias / np.sqrt(seen_bias)
+        bias -= (rate * d_bias / np.sqrt(seen_bias)).astype(np.float32)
         sharp = min(8.0, sharp * 1.1)
     scores = emb @ (soft[:, 1] - soft[:, 0])
     never = np.ones(BUCKETS, bool)
