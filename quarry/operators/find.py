@@ -196,7 +196,7 @@ def filtered(df: DataFrame, obj: ObjectDef, filter: dict, links: dict[str, Links
 
 
 def find(df: DataFrame, obj: ObjectDef, options: Find, meta: DataFrame | None = None, strict: bool = True, links: dict[str, Links] | None = None) -> DataFrame:
-    """One page. ``strict``: hidden fields cannot be filtered or sorted on either."""
+    """One page. ``strict``: hidden fields cannot be filtered or sorted on either. A sorted page keeps ``offset`` + ``limit`` rows in each task; deep pages take the cursor."""
     check_budget(options)
     used = names_used(options)
     for n, _ in options.sort:

@@ -48,7 +48,7 @@ _NUMBERS = (*_WHOLE, "number", "real", "double", "currency")
 
 
 def definition_errors(obj: ObjectDef) -> list[tuple[str, str]]:
-    """(code, where) of what is wrong with a definition beyond what it cannot be made with at all."""
+    """(code, where) of what is wrong with a definition beyond what it cannot be made with at all. The codes are fixed values."""
     out, names = [], {f.name: f for f in obj.fields}
 
     def need(ok, code: str, where: str) -> None:

@@ -23,20 +23,20 @@ def check_args(value, schema: dict, path: str = "args") -> str:
     """What is wrong with arguments under a JSON schema of type, enum, minimum, maximum, items, required, properties and additionalProperties; '' if nothing is."""
     kind = schema.get("type")
     if kind in _TYPES and not _TYPES[kind](value):
-        return f'{path} must be of type "{kind}"'
+        return f"{path}: not of type {kind}"
     if "enum" in schema and not any(type(value) is type(v) and value == v for v in schema["enum"]):
-        return f"{path} must be one of: {', '.join(map(str, schema['enum']))}"
+        return f"{path}: none of {', '.join(map(str, schema['enum']))}"
     if _TYPES["number"](value):
         if "minimum" in schema and value < schema["minimum"]:
-            return f"{path} must be >= {schema['minimum']}"
+            return f"{path}: below {schema['minimum']}"
         if "maximum" in schema and value > schema["maximum"]:
-            return f"{path} must be <= {schema['maximum']}"
+            return f"{path}: above {schema['maximum']}"
     if isinstance(value, list) and "items" in schema:
         return next(filter(None, (check_args(v, schema["items"], f"{path}[{i}]") for i, v in enumerate(value))), "")
     if isinstance(value, dict):
         properties = schema.get("properties", {})
-        missing = [f"{path}.{k} is required" for k in schema.get("required", ()) if k not in value]
-        extra = [f"{path}.{k} is not allowed" for k in value if k not in properties] if schema.get("additionalProperties") is False else []
+        missing = [f"{path}.{k}: missing" for k in schema.get("required", ()) if k not in value]
+        extra = [f"{path}.{k}: not expected" for k in value if k not in properties] if schema.get("additionalProperties") is False else []
         inner = (check_args(value[k], sub, f"{path}.{k}") for k, sub in properties.items() if k in value)
         return next(filter(None, [*missing, *extra, *inner]), "")
     return ""
