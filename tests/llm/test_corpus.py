@@ -102,6 +102,20 @@ def test_rows_of_one_id(spark, small_chunks, monkeypatch):
         substring_dedup(df.withColumn("doc_id", F.lit("x")))
 
 
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    from quarry.llm import shared
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("v").alias("top")).where("k <> 7")
+    plain = sorted(map(tuple, rows.join(facts, "k").select("k", "v", "top").collect()))
+    for few in (10_000, 0):
+        monkeypatch.setattr(shared, "FEW_ROWS", few)
+        df = shared.spread_join(rows, facts, ["k"], 3000)
+        assert sorted(map(tuple, df.select("k", "v", "top").collect())) == plain
+        assert ("Union" in df._jdf.queryExecution().toString()) == (few == 0)
+    assert shared.spread_join(rows.limit(0), facts, ["k"], 0).count() == 0
+
+
 def test_a_word_of_half_a_megabyte(spark):
     text = "w" * 600_000 + " " + " ".join(f"x{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
